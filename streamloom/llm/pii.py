@@ -86,7 +86,7 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (
     Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: t.contains("@"), lambda m: F.lit(True), 0.9, "mail|contact|write"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", lambda t: t.rlike(r"[0-9]\.[0-9]"), _ip, 0.7, "host|server|address|ip"),
-    Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike("[0-9]{2}|[0-9][ -][0-9]"), _card, 0.7, "card|visa|credit|pay"),
+    Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike("[0-9][0-9 -]{13}"), _card, 0.7, "card|visa|credit|pay"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.contains("+"), _phone, 0.7, "phone|call|tel|mobile|fax"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[0-9]{1,3})?", lambda t: t.rlike("[A-Z]{2}[0-9]{2}"), _mod97, 0.6, "iban|account|bank"),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda t: t.rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda m: F.lit(True), 0.3, "ssn|social security"),
