@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,3 +84,15 @@ def prefix_sums(a: Column, block: int = 256) -> Column:
         )
 
     return let(a, lambda v: F.when(F.size(v) > 0, over(v)).otherwise(F.array().cast("array<int>")))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    return spark.sparkContext.getConf().get(CHECKPOINT_CONF) or tempfile.mkdtemp(prefix="streamloom-shared-")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

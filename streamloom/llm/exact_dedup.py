@@ -8,7 +8,7 @@ map side, so a group of copies sends one row a task however large it is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import strip_white
@@ -79,16 +79,19 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that tie (same id and text) are reduced to one.  A null text equals
     an empty one.  Extra columns keep their names, whatever they are.
     """
+
+    def key(doc_id: Column, sha: Column) -> Column:
+        return F.concat_ws("|", F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("")), sha)
+
     report = exact_duplicates(docs, id_col, text_col)
-    lone = report.filter(F.col("kept")).groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_n"))
-    keys = lone.select(F.col("doc_id").alias("_loom_id"), F.unhex("text_sha256").alias("_loom_sha"), F.col("_n").alias("_loom_n"))
-    text = F.coalesce(docs[text_col], F.lit(""))
-    sha = F.unhex(F.sha2(strip_white(text).cast("binary"), 256))
-    out = docs.withColumn("_loom_text_sha", sha)
-    joined = out.join(
-        keys, out[id_col].cast("bigint").eqNullSafe(keys["_loom_id"]) & (out["_loom_text_sha"] == keys["_loom_sha"])
+    stay = report.filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_loom_key"))
+    sha = F.sha2(strip_white(F.coalesce(docs[text_col], F.lit(""))).cast("binary"), 256)
+    # the most code points first: a row that only shares id and normal form with the one that stays goes
+    rank = F.row_number().over(Window.partitionBy("_loom_key").orderBy(F.col("_loom_len").desc()))
+    return (
+        docs.withColumns({"_loom_key": key(docs[id_col], sha), "_loom_len": F.char_length(F.coalesce(docs[text_col], F.lit("")))})
+        .join(stay, "_loom_key", "left_semi")
+        .withColumn("_loom_r", rank)
+        .filter("_loom_r = 1")
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    once = joined.filter(F.col("_loom_n") == 1).select(*names)
-    again = joined.filter(F.col("_loom_n") > 1).dropDuplicates(["_loom_id", "_loom_sha"]).select(*names)
-    return once.unionAll(again)

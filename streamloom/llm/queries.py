@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, pii, quality
+from . import exact_dedup, mixing, pii, quality
 from .common import documents
 
 STRIP = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
@@ -18,6 +18,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
@@ -127,6 +132,7 @@ from t left join g on g.doc_id = t.doc_id
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
+    "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
