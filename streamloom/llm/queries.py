@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pii, quality
+from . import exact_dedup, mixing, pii, quality, simhash
 from .common import documents
 
 STRIP = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(documents(spark, sf_dir))
 
@@ -130,6 +134,7 @@ from t left join g on g.doc_id = t.doc_id
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
