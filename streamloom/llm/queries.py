@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pii, quality, simhash
+from . import exact_dedup, mixing, pii, quality, sentencepiece_codec, simhash
 from .common import documents
 
 STRIP = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
@@ -22,6 +22,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_report(documents(spark, sf_dir))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -137,6 +141,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
