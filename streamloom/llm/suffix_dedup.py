@@ -24,15 +24,14 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import CHUNKS, LAST, ROW, Chunk, answer, by, chunks_of, groups, pack, rows_batch, split, text_rows, unpack
 from .common import written
 
 LENGTH = 50
@@ -40,24 +39,8 @@ GRAM = 16
 WINDOW = LENGTH - GRAM + 1
 COVER, MODULUS = (0, 1, 3), 7
 TIE = LENGTH - MODULUS + 1
-#: Bytes of text in a chunk (a longer document is a chunk of its own) and hashes a bucket should hold.
-CHUNK, BUCKET = 1 << 21, 150_000
-LAST = 2**63 - 1
-_ROW = "chunk string, kind int, bucket int, blob binary"
-_NAMES = ["chunk", "kind", "bucket", "blob"]
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    """64-bit arrays of one length, their bytes by significance, compressed."""
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(3).compress(struct.pack("<I", len(arrays)) + b"".join(planes))
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    (k,) = struct.unpack_from("<I", raw)
-    planes = np.frombuffer(raw, np.uint8, offset=4).reshape(k, 8, -1) if len(raw) > 4 else np.zeros((k, 8, 0), np.uint8)
-    return [np.ascontiguousarray(p.T).view(np.int64).ravel() for p in planes]
+#: Hashes a bucket should hold.
+BUCKET = 150_000
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -80,94 +63,28 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[:-rest], h[rest:]) if rest else h
 
 
-class Chunk:
-    """Documents one after the other."""
-
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray):
-        self.ids, self.sizes, self.data = ids, sizes, data
-        self.starts = np.cumsum(sizes) - sizes
-
-    def packed(self) -> bytes:
-        head = _pack(self.ids, self.sizes)
-        return struct.pack("<I", len(head)) + head + zstandard.ZstdCompressor(6).compress(self.data.tobytes())
-
-    @staticmethod
-    def unpacked(blob: bytes) -> Chunk:
-        (n,) = struct.unpack_from("<I", blob)
-        ids, sizes = _unpack(blob[4 : 4 + n])
-        raw = zstandard.ZstdDecompressor().decompress(blob[4 + n :], max_output_size=max(int(sizes.sum()), 1))
-        return Chunk(ids, sizes, np.frombuffer(raw, np.uint8))
-
-    def runs(self, bits: int) -> tuple[np.ndarray, ...]:
-        """(start, count, hash, document) of the runs of neighbouring suffixes with one hash of ``bits`` bits."""
-        if len(self.data) < LENGTH:
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
-        x = _words(self.data)
-        h = x[: len(x) - 8] * np.uint64(0x9E3779B97F4A7C15) ^ (x[8:] + np.uint64(0x7F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-        least = _least(h[: len(self.data) - GRAM + 1], WINDOW) >> np.uint64(64 - bits)
-        cut = np.ones(len(self.data) + 1, bool)
-        cut[1 : len(least)] = least[1:] != least[:-1]
-        cut[len(least) : -1] = False
-        cut[self.starts] = True
-        past = self.starts + np.maximum(self.sizes - LENGTH + 1, 0)
-        cut[past] = True
-        at = np.flatnonzero(cut)
-        start, count = at[:-1], np.diff(at)
-        doc = np.searchsorted(self.starts, start, "right") - 1
-        inside = start < past[doc]
-        start, count, doc = start[inside], count[inside], doc[inside]
-        return start, count, least[start].astype(np.int64), doc
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, ids, texts, size = 0, [], [], 0
-
-    def row():
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        c = Chunk(np.array(ids, np.int64), np.array(list(map(len, texts)), np.int64), data)
-        name = f"{TaskContext.get().partitionId()}-{n}"
-        return pa.RecordBatch.from_pydict({"chunk": [name], "blob": [c.packed()]})
-
-    for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-            texts.append(t.as_buffer().to_pybytes())
-            ids.append(LAST if i is None else i)
-            size += len(texts[-1])
-            if size >= CHUNK or len(ids) >= 1 << 16:
-                yield row()
-                n, ids, texts, size = n + 1, [], [], 0
-    if ids:
-        yield row()
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    chunk, kind, bucket, blob = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], _NAMES)
-
-
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[tuple]]:
-    """Rows that follow each other with one ``key``."""
-    held, last = [], None
-    for b in batches:
-        rows = zip(*(b.column(c).to_pylist() for c in _NAMES))
-        for k, r in zip(b.column(key).to_pylist(), rows):
-            if k != last and held:
-                yield held
-                held = []
-            held.append(r)
-            last = k
-    if held:
-        yield held
-
-
-def _split(values: np.ndarray, low: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted ``values`` by the bits above ``low``."""
-    top = values >> low
-    cuts = np.flatnonzero(np.diff(top, prepend=-1, append=-1)).tolist()
-    return [(int(top[a]), a, b) for a, b in zip(cuts, cuts[1:])]
+def runs(c: Chunk, bits: int) -> tuple[np.ndarray, ...]:
+    """(start, count, hash, document) of the runs of neighbouring suffixes with one hash of ``bits`` bits."""
+    if len(c.data) < LENGTH:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    x = _words(c.data)
+    h = x[: len(x) - 8] * np.uint64(0x9E3779B97F4A7C15) ^ (x[8:] + np.uint64(0x7F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    least = _least(h[: len(c.data) - GRAM + 1], WINDOW) >> np.uint64(64 - bits)
+    cut = np.ones(len(c.data) + 1, bool)
+    cut[1 : len(least)] = least[1:] != least[:-1]
+    cut[len(least) : -1] = False
+    cut[c.starts] = True
+    past = c.starts + np.maximum(c.sizes - LENGTH + 1, 0)
+    cut[past] = True
+    at = np.flatnonzero(cut)
+    start, count = at[:-1], np.diff(at)
+    doc = np.searchsorted(c.starts, start, "right") - 1
+    inside = start < past[doc]
+    start, count, doc = start[inside], count[inside], doc[inside]
+    return start, count, least[start].astype(np.int64), doc
 
 
 def _ask(bits: int, low: int):
@@ -177,7 +94,7 @@ def _ask(bits: int, low: int):
         for b in batches:
             for name, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 c = Chunk.unpacked(blob)
-                _, _, h, doc = c.runs(bits)
+                _, _, h, doc = runs(c, bits)
                 ids = c.ids[doc]
                 order = np.lexsort((ids, h))
                 h, ids = h[order], ids[order]
@@ -187,37 +104,18 @@ def _ask(bits: int, low: int):
                 lo, hi = ids[first], np.maximum.reduceat(ids, first)
                 h = h[first]
                 mask = (1 << low) - 1
-                rows = [(name, 1, k, _pack(np.diff(h[a:z] & mask, prepend=0), lo[a:z], (hi > lo)[a:z].astype(np.int64))) for k, a, z in _split(h, low)]
-                yield _rows(rows)
+                rows = [(name, 1, k, pack(np.diff(h[a:z] & mask, prepend=0), lo[a:z], (hi > lo)[a:z].astype(np.int64))) for k, a, z in split(h, low)]
+                yield rows_batch(rows)
 
     return each
 
 
-def _answer(batches):
-    """Bucket -> for each chunk those of its hashes that two documents or more have."""
-    for rows in _groups(batches, "bucket"):
-        parts = [_unpack(r[3]) for r in rows]
-        h = np.concatenate([np.cumsum(p[0]) for p in parts])
-        many = np.concatenate([p[2] for p in parts]) > 0
-        owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        order = np.argsort(h, kind="stable")
-        first = np.flatnonzero(np.diff(h[order], prepend=-1))
-        size = np.diff(first, append=len(h))
-        shared = np.empty(len(h), bool)
-        shared[order] = np.repeat((size > 1) | np.logical_or.reduceat(many[order], first), size)
-        h, owner = h[shared], owner[shared]
-        cuts = np.searchsorted(owner, np.arange(len(parts) + 1))
-        out = [(r[0], 1, r[2], _pack(np.diff(h[a:z], prepend=0))) for r, a, z in zip(rows, cuts, cuts[1:]) if a < z]
-        if out:
-            yield _rows(out)
-
-
 class _Candidates:
     """The runs of a chunk whose hash is shared, equal strings once, by bucket."""
 
     def __init__(self, c: Chunk, shared: list[tuple], bits: int, low: int):
-        known = np.sort(np.concatenate([(r[2] << low) + np.cumsum(_unpack(r[3])[0]) for r in shared]))
-        start, count, h, doc = c.runs(bits)
+        known = np.sort(np.concatenate([(r[2] << low) + np.cumsum(unpack(r[3])[0]) for r in shared]))
+        start, count, h, doc = runs(c, bits)
         hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
         order = np.flatnonzero(hit)
         order = order[np.argsort(h[order] >> low, kind="stable")]
@@ -241,17 +139,17 @@ def _send(bits: int, low: int):
     """Chunk and answers -> for each bucket the strings that hold shared suffixes."""
 
     def each(batches):
-        for rows in _groups(batches, "chunk"):
+        for rows in groups(batches, "chunk"):
             if len(rows) < 2:
                 continue
             found = _Candidates(Chunk.unpacked(rows[0][3]), rows[1:], bits, low)
             out = []
-            for bucket, a, z in _split(found.buckets, 0):
-                head = _pack(found.sizes[a:z], found.ids[a:z])
+            for bucket, a, z in split(found.buckets, 0):
+                head = pack(found.sizes[a:z], found.ids[a:z])
                 body = zstandard.ZstdCompressor(6).compress(b"".join(found.texts[a:z]))
                 out.append((rows[0][0], 2, bucket, struct.pack("<I", len(head)) + head + body))
             if out:
-                yield _rows(out)
+                yield rows_batch(out)
 
     return each
 
@@ -301,11 +199,11 @@ def smallest_ids(data: np.ndarray, start: np.ndarray, ids: np.ndarray) -> np.nda
 
 def _sort(batches):
     """Bucket -> for each chunk the smallest id of each of its suffixes, in the order it sent them."""
-    for rows in _groups(batches, "bucket"):
+    for rows in groups(batches, "bucket"):
         texts, sizes, ids = [], [], []
         for r in rows:
             (n,) = struct.unpack_from("<I", r[3])
-            size, own = _unpack(r[3][4 : 4 + n])
+            size, own = unpack(r[3][4 : 4 + n])
             sizes.append(size)
             ids.append(own)
             texts.append(zstandard.ZstdDecompressor().decompress(r[3][4 + n :]))
@@ -316,7 +214,7 @@ def _sort(batches):
         start = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
         least = smallest_ids(data, start, np.repeat(own, size))
         cuts = np.cumsum([0, *(int(s.sum()) for s in sizes)]).tolist()
-        yield _rows([(r[0], 2, r[2], _pack(least[a:z])) for r, a, z in zip(rows, cuts, cuts[1:])])
+        yield rows_batch([(r[0], 2, r[2], pack(least[a:z])) for r, a, z in zip(rows, cuts, cuts[1:])])
 
 
 _REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -326,13 +224,13 @@ def _cut(bits: int, low: int, texts: bool):
     """Chunk and smallest ids -> what stays of each document."""
 
     def each(batches):
-        for rows in _groups(batches, "chunk"):
+        for rows in groups(batches, "chunk"):
             c = Chunk.unpacked(rows[0][3])
             shared = [r for r in rows if r[1] == 1]
             gone = np.zeros(len(c.data) + 1, np.int64)
             if shared:
                 found = _Candidates(c, shared, bits, low)
-                least = np.concatenate([_unpack(r[3])[0] for r in rows if r[1] == 2])
+                least = np.concatenate([unpack(r[3])[0] for r in rows if r[1] == 2])
                 base = np.cumsum(found.sizes) - found.sizes
                 total = int(found.count.sum())
                 within = np.arange(total) - np.repeat(np.cumsum(found.count) - found.count, found.count)
@@ -368,14 +266,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     top = max((n // BUCKET).bit_length(), 2)
     bits = min(max(n.bit_length() + 14, top + 8), 62)
     low = bits - top
-    chunks = written(base.mapInArrow(_chunks, "chunk string, blob binary"), "chunks")
-    of_text = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(-1).alias("bucket"), "blob")
-
-    def by(key: str, df: DataFrame) -> DataFrame:
-        return df.repartition(key).sortWithinPartitions(key, "kind", "bucket")
+    chunks = written(base.mapInArrow(chunks_of, CHUNKS), "chunks")
+    of_text = text_rows(chunks)
 
-    asked = chunks.mapInArrow(_ask(bits, low), _ROW)
-    shared = written(by("bucket", asked).mapInArrow(_answer, _ROW), "shared")
-    sent = by("chunk", of_text.unionAll(shared)).mapInArrow(_send(bits, low), _ROW)
-    least = by("bucket", sent).mapInArrow(_sort, _ROW)
+    asked = chunks.mapInArrow(_ask(bits, low), ROW)
+    shared = written(by("bucket", asked).mapInArrow(answer, ROW), "shared")
+    sent = by("chunk", of_text.unionAll(shared)).mapInArrow(_send(bits, low), ROW)
+    least = by("bucket", sent).mapInArrow(_sort, ROW)
     return by("chunk", of_text.unionAll(shared).unionAll(least)).mapInArrow(_cut(bits, low, texts), _REPORT)

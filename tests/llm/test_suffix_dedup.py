@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
+from streamloom.llm import chunks
 from streamloom.llm import suffix_dedup as m
 
 
@@ -51,7 +52,7 @@ def corpus():
 
 @pytest.mark.parametrize("chunk, bucket", [(1 << 21, 150_000), (1500, 40)])
 def test_against_all_substrings(spark, monkeypatch, chunk, bucket):
-    monkeypatch.setattr(m, "CHUNK", chunk)
+    monkeypatch.setattr(chunks, "CHUNK", chunk)
     monkeypatch.setattr(m, "BUCKET", bucket)
     texts = corpus()
     rng = np.random.default_rng(8)
