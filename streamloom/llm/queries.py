@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pii, quality, sentencepiece_codec, simhash, suffix_dedup
+from . import exact_dedup, mixing, paragraph_dedup, pii, quality, sentencepiece_codec, simhash, suffix_dedup
 from .common import documents
 
 STRIP = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
@@ -30,6 +30,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
 
+def op8_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.remove_paragraphs(documents(spark, sf_dir)).drop("kept")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -147,6 +151,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_paragraph_dedup": op8_paragraph_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_quality_rules": op10_quality_rules,
 }
