@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, paragraph_dedup, pii, quality, sentencepiece_codec, simhash, suffix_dedup
+from . import exact_dedup, license_scan, mixing, paragraph_dedup, pii, quality, secret_scan, sentencepiece_codec, simhash, suffix_dedup
 from .common import documents
 
 STRIP = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
@@ -22,10 +22,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licence_report(documents(spark, sf_dir))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_report(documents(spark, sf_dir))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(documents(spark, sf_dir))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
@@ -149,7 +157,9 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_secret_scan": op6_secret_scan,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_paragraph_dedup": op8_paragraph_dedup,
     "op9_mix_sources": op9_mix_sources,
