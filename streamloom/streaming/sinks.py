@@ -3,6 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import DataStreamWriter
+
+
+def _to_the_end(writer: DataStreamWriter) -> None:
+    """Runs batch after batch until the source has no more.
+
+    A source that limits its batches itself would run just one with
+    ``availableNow``.
+    """
+    query = writer.trigger(processingTime="0 seconds").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -11,8 +25,7 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     The file sink's log names the files of each batch, so a batch that is
     written again after a failure replaces its first try.
     """
-    query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start(path)
-    query.awaitTermination()
+    _to_the_end(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode))
 
 
 def run_by_batch(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -21,14 +34,13 @@ def run_by_batch(stream: DataFrame, path: str, checkpoint: str) -> None:
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    _to_the_end(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
 
 
 def run_complete(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
     """All groups of an aggregation, also those that a watermark would hold back."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
+    writer = stream.writeStream.format("memory").queryName(name).outputMode("complete")
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
+    _to_the_end(writer)
     return stream.sparkSession.table(name)
