@@ -82,6 +82,22 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
     return root
 
 
+def overlaps(sets: list[np.ndarray]) -> Callable[[int], np.ndarray]:
+    """For set i of sorted numbers, how many it shares with each of ``sets``."""
+    size = np.array(list(map(len, sets)))
+    owner, flat = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+
+    def shared(i: int) -> np.ndarray:
+        lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(owner[at], minlength=len(sets))
+
+    return shared
+
+
 def linked(rows: DataFrame, compare: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], schema: str = "a long, b long") -> DataFrame:
     """Links (a, b) that ``compare`` finds in each run of ``rows`` (see :func:`colliding`)."""
 

@@ -149,3 +149,49 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted((str(r["doc_id"]) for r in kept.collect())) == ["3", "None", "None"]
     empty = spark.createDataFrame([], schema)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
+
+
+def jaccard(a, b):
+    of = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(len(w) - 4)} or {tuple(t.lower().split())}
+    return len(of(a) & of(b)) / len(of(a) | of(b))
+
+
+def test_samples_meet():
+    rng = np.random.default_rng(6)
+    met = 0
+    for _ in range(200):
+        h = rng.integers(0, 2**63, 900, np.uint64)
+        a, b = np.unique(h[:800]), np.unique(np.concatenate([h[:711], h[800:889]]))
+        met += bool((simhash.samples(a) == simhash.samples(b)).any())
+    assert met >= 198
+
+
+def test_similar_documents_against_all_pairs(spark):
+    rng = np.random.default_rng(14)
+    texts = []
+    for _ in range(30):
+        base = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(40, 400)))]
+        for _ in range(4):
+            t = list(base)
+            for at in rng.integers(0, len(t), int(rng.integers(0, 1 + len(t) // 40))):
+                t[at] = "changed"
+            texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    clear = {(i, j) for i, a in rows for j, b in rows[:i] if jaccard(a, b) >= 0.8}
+    found = {r["node"]: r["root"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(clear) > 60
+    missed = [p for p in clear if found.get(p[0], p[0]) != found.get(p[1], p[1])]
+    assert len(missed) <= 0.01 * len(clear)
+    # nothing links but what is similar: each group is connected by pairs above 0.8 or by SimHashes within 3 bits
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    for node, root in found.items():
+        group = [i for i in range(len(texts)) if found.get(i, i) == root and i != node]
+        assert any(jaccard(texts[node], texts[i]) >= 0.8 or (prints[node] ^ prints[i]).bit_count() <= 3 for i in group)
+
+
+def test_sketch_of_long_sets():
+    rng = np.random.default_rng(15)
+    h = np.unique(rng.integers(0, 2**63, 6000, np.uint64))
+    a, b, c = np.sort(h[:5500]), np.sort(np.concatenate([h[:5200], h[5500:5700]])), np.sort(h[2000:])
+    cut = lambda x: x[: simhash.SKETCH]
+    assert simhash.similarity_at_least(cut(a), cut(b)) and not simhash.similarity_at_least(cut(a), cut(c))
