@@ -153,6 +153,26 @@ from t left join g on g.doc_id = t.doc_id
 """
 
 
+OP7_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+n as (select doc_id, h, (length(h) // 2)::bigint as n from d),
+w as (select doc_id, i, substr(h, 2 * i + 1, 100) as k from n, lateral (select unnest(range(n - 49)) as i) where n >= 50),
+r as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by k) as lo from w) where lo < doc_id),
+s as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as first from r),
+g as (select doc_id, i, sum(first) over (partition by doc_id order by i rows unbounded preceding) as run from s),
+sp as (select doc_id, min(i) as a, max(i) + 50 as z from g group by doc_id, run),
+gap as (
+  select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) as f, a as t from sp
+  union all select sp.doc_id, max(z), any_value(n.n) from sp join n on n.doc_id = sp.doc_id group by sp.doc_id),
+k as (
+  select gap.doc_id, string_agg(substr(n.h, 2 * f + 1, 2 * (t - f)), '' order by f) as kept
+  from gap join n on n.doc_id = gap.doc_id group by gap.doc_id),
+c as (select doc_id, count(*) as n_spans, sum(z - a)::bigint as gone from sp group by doc_id)
+select n.doc_id, n.n as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(kept, n.h))) as kept_sha256
+from n left join c on c.doc_id = n.doc_id left join k on k.doc_id = n.doc_id
+"""
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -168,5 +188,6 @@ QUERIES = {
 ORACLES = {
     "op2_pii": _op2_sql(),
     "op3_exact_dedup": OP3_SQL,
+    "op7_suffix_dedup": OP7_SQL,
     "op10_quality_rules": OP10_SQL,
 }
