@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Stands for a null id, which is larger than all others.
 LAST = 2**63 - 1
 CHUNKS = "chunk string, blob binary"
@@ -93,10 +93,11 @@ def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[tuple]]:
-    """Rows that follow each other with one ``key``."""
+    """Rows that follow each other with one ``key``; a blob is a view, not a copy."""
     held, last = [], None
     for b in batches:
-        rows = zip(*(b.column(c).to_pylist() for c in _NAMES))
+        blobs = (x.as_buffer() for x in b.column("blob"))
+        rows = zip(*(b.column(c).to_pylist() for c in _NAMES[:-1]), blobs)
         for k, r in zip(b.column(key).to_pylist(), rows):
             if k != last and held:
                 yield held

@@ -26,16 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import CHUNKS, LAST, ROW, Chunk, answer, by, chunks_of, groups, pack, rows_batch, split, text_rows, unpack
-from .common import written
+from .common import small_batches, written
 from .components import components
-from .runs import colliding, forest, linked
+from .runs import colliding, forest, linked, overlaps
 
 SHINGLE, MIN_WORDS = 5, 8
 #: Jaccard similarity that links, as a fraction.
 NEAR = (4, 5)
 RECALL = 0.995
 SEED = 42
-BUCKET = 150_000
+BUCKET = 60_000
 _END = re.compile(rb"[.!?][ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*")
 _U64 = (1 << 64) - 1
 
@@ -131,7 +131,7 @@ def _ask(bits: int, low: int):
 
     def each(batches):
         for b in batches:
-            for name, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for name, blob in zip(b.column(0).to_pylist(), (x.as_buffer() for x in b.column(1))):
                 p = Paragraphs(Chunk.unpacked(blob))
                 h = np.sort((p.keys(p.once()) >> np.uint64(64 - bits)).astype(np.int64).ravel())
                 first = np.flatnonzero(np.diff(h, prepend=-1))
@@ -207,14 +207,10 @@ def _compare(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     node = np.array(run["place"].to_pylist(), object)
     sets = [np.frombuffer(x, np.uint64) for x in run["shingles"].to_pylist()]
     n, size = len(sets), np.array(list(map(len, sets)))
-    owner, flat = np.repeat(np.arange(n), size), np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    shared = overlaps(sets)
 
     def near(i: int, rest: np.ndarray) -> np.ndarray:
-        lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-        held = np.concatenate([owner[a:z] for a, z in zip(lo.tolist(), hi.tolist())])
-        both = np.bincount(held, minlength=n)[rest]
+        both = shared(i)[rest]
         return NEAR[1] * both >= NEAR[0] * (size[i] + size[rest] - both)
 
     root = forest(n, near)
@@ -233,7 +229,7 @@ def _cut(texts: bool):
     def each(batches):
         for rows in groups(batches, "chunk"):
             c = Chunk.unpacked(rows[0][3])
-            root = {r[3][:16]: r[3][16:] for r in rows[1:]}
+            root = {b[:16]: b[16:] for b in (r[3].to_pybytes() for r in rows[1:])}
             raw = c.data.tobytes()
             gone: dict[int, dict[int, bytes]] = {}
             if root:
@@ -275,18 +271,19 @@ def remove_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     top = max((n // BUCKET).bit_length(), 2)
     bits = min(max(n.bit_length() + 14, top + 8), 62)
     low = bits - top
-    chunks = written(base.mapInArrow(chunks_of, CHUNKS), "chunks")
-    of_text = text_rows(chunks)
-    shared = by("bucket", chunks.mapInArrow(_ask(bits, low), ROW)).mapInArrow(answer, ROW)
-    sent = written(by("chunk", of_text.unionAll(shared)).mapInArrow(_send(bits, low), _SENT), "paragraphs")
-    # equal paragraphs are one node, the first of their places; the key and
-    # the shingles are the same for all of them
-    nodes = sent.groupBy("name").agg(F.min("place").alias("place"), F.sum("n").alias("n"), F.first("keys").alias("keys"), F.first("shingles").alias("shingles"))
-    nodes = written(nodes, "nodes")
-    rows = nodes.select(F.explode("keys").alias("key"), "place", "shingles")
-    found = components(linked(colliding(rows, "key", "place"), _compare, "a binary, b binary"))
-    rooted = nodes.select("name", "place", "n").join(found, F.col("place") == F.col("node"), "left")
-    moved = rooted.filter("n > 1 or root is not null").select("name", F.coalesce("root", "place").alias("root"))
-    # the rows that hold a very frequent paragraph are one a chunk at most
-    told = sent.select("chunk", "name").join(moved, "name").select("chunk", F.lit(1).alias("kind"), F.lit(0).alias("bucket"), F.concat("name", "root").alias("blob"))
-    return by("chunk", of_text.unionAll(told)).mapInArrow(_cut(texts), _REPORT)
+    with small_batches(docs.sparkSession):
+        chunks = written(base.mapInArrow(chunks_of, CHUNKS), "chunks")
+        of_text = text_rows(chunks)
+        shared = by("bucket", chunks.mapInArrow(_ask(bits, low), ROW)).mapInArrow(answer, ROW)
+        sent = written(by("chunk", of_text.unionAll(shared)).mapInArrow(_send(bits, low), _SENT), "paragraphs")
+        # equal paragraphs are one node, the first of their places; the key and
+        # the shingles are the same for all of them
+        nodes = sent.groupBy("name").agg(F.min("place").alias("place"), F.sum("n").alias("n"), F.first("keys").alias("keys"), F.first("shingles").alias("shingles"))
+        nodes = written(nodes, "nodes")
+        rows = nodes.select(F.explode("keys").alias("key"), "place", "shingles")
+        found = components(linked(colliding(rows, "key", "place"), _compare, "a binary, b binary"))
+        rooted = nodes.select("name", "place", "n").join(found, F.col("place") == F.col("node"), "left")
+        moved = rooted.filter("n > 1 or root is not null").select("name", F.coalesce("root", "place").alias("root"))
+        # the rows that hold a very frequent paragraph are one a chunk at most
+        told = sent.select("chunk", "name").join(moved, "name").select("chunk", F.lit(1).alias("kind"), F.lit(0).alias("bucket"), F.concat("name", "root").alias("blob"))
+        return written(by("chunk", of_text.unionAll(told)).mapInArrow(_cut(texts), _REPORT), "cut")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import CHUNKS, LAST, ROW, Chunk, answer, by, chunks_of, groups, pack, rows_batch, split, text_rows, unpack
-from .common import written
+from .common import small_batches, written
 
 LENGTH = 50
 GRAM = 16
@@ -40,7 +40,7 @@ WINDOW = LENGTH - GRAM + 1
 COVER, MODULUS = (0, 1, 3), 7
 TIE = LENGTH - MODULUS + 1
 #: Hashes a bucket should hold.
-BUCKET = 150_000
+BUCKET = 60_000
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -72,7 +72,9 @@ def runs(c: Chunk, bits: int) -> tuple[np.ndarray, ...]:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
-    least = _least(h[: len(c.data) - GRAM + 1], WINDOW) >> np.uint64(64 - bits)
+    # minima crowd near zero: they are mixed again so that buckets come out even
+    least = _least(h[: len(c.data) - GRAM + 1], WINDOW) * np.uint64(0x9E3779B97F4A7C15)
+    least = ((least ^ (least >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
     cut = np.ones(len(c.data) + 1, bool)
     cut[1 : len(least)] = least[1:] != least[:-1]
     cut[len(least) : -1] = False
@@ -92,7 +94,7 @@ def _ask(bits: int, low: int):
 
     def each(batches):
         for b in batches:
-            for name, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for name, blob in zip(b.column(0).to_pylist(), (x.as_buffer() for x in b.column(1))):
                 c = Chunk.unpacked(blob)
                 _, _, h, doc = runs(c, bits)
                 ids = c.ids[doc]
@@ -266,11 +268,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     top = max((n // BUCKET).bit_length(), 2)
     bits = min(max(n.bit_length() + 14, top + 8), 62)
     low = bits - top
-    chunks = written(base.mapInArrow(chunks_of, CHUNKS), "chunks")
-    of_text = text_rows(chunks)
-
-    asked = chunks.mapInArrow(_ask(bits, low), ROW)
-    shared = written(by("bucket", asked).mapInArrow(answer, ROW), "shared")
-    sent = by("chunk", of_text.unionAll(shared)).mapInArrow(_send(bits, low), ROW)
-    least = by("bucket", sent).mapInArrow(_sort, ROW)
-    return by("chunk", of_text.unionAll(shared).unionAll(least)).mapInArrow(_cut(bits, low, texts), _REPORT)
+    with small_batches(docs.sparkSession):
+        chunks = written(base.mapInArrow(chunks_of, CHUNKS), "chunks")
+        of_text = text_rows(chunks)
+        asked = chunks.mapInArrow(_ask(bits, low), ROW)
+        shared = written(by("bucket", asked).mapInArrow(answer, ROW), "shared")
+        sent = by("chunk", of_text.unionAll(shared)).mapInArrow(_send(bits, low), ROW)
+        least = by("bucket", sent).mapInArrow(_sort, ROW)
+        return written(by("chunk", of_text.unionAll(shared).unionAll(least)).mapInArrow(_cut(bits, low, texts), _REPORT), "cut")
