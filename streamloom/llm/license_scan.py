@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import let
 from .license_texts import OTHER, TEMPLATES
 
 #: Variants of each notice that are made for training, and for calibration.
@@ -186,7 +186,7 @@ def licence_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     unknown = len(m.families) - 1
     weights, templates = _table(m.weights, "array<double>"), _table(m.templates, "array<string>")
     zero = F.lit([0.0] * len(m.families)).cast("array<double>")
-    evidence = needed_words(m)
+    evidence, vocabulary = needed_words(m), list(m.weights)
     names = F.lit(m.families)
 
     def split_words(line: Column) -> Column:
@@ -202,7 +202,9 @@ def licence_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def judged(g: Column) -> Column:
         bias = F.lit(m.bias).cast("array<double>")
         add = lambda a, x: F.zip_with(a, F.coalesce(F.try_element_at(weights, x), zero), lambda p, q: p + q)
-        return let(F.aggregate(g, bias, add), lambda s: let(best(s), lambda b: confirm(g, b)))
+        # a set test is much cheaper than a look into the map, and most grams have no weight
+        weighted = F.filter(g, lambda x: x.isin(vocabulary))
+        return let(F.aggregate(weighted, bias, add), lambda s: let(best(s), lambda b: confirm(g, b)))
 
     def best(s: Column) -> Column:
         top = F.array_max(s)
@@ -222,7 +224,7 @@ def licence_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             )
             return let(got, lambda b: F.when(b.isNotNull(), F.struct(k.alias("line"), b["family"].alias("family"), F.round(b["p"], 6).alias("p"))))
 
-        lines = F.filter(F.split(text, "\n"), lambda x: F.size(words(x)) > 0)
+        lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
         return let(lines, lambda all_: F.struct(F.size(all_).cast("bigint").alias("n_lines"), F.filter(F.transform(all_, one), lambda x: x.isNotNull()).alias("found")))
 
     assert unknown == m.families.index(UNKNOWN)
