@@ -128,13 +128,18 @@ def samples(h: np.ndarray) -> np.ndarray:
     return (a & b) | (a & c) | (b & c)
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The ``SKETCH`` smallest of a set's hashes, to 32 bits."""
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for i, t in zip(b.column(0).to_pylist(), b.column(1)):
             h = _shingle_set(t.as_buffer().to_pybytes())
             if len(h):
-                rows.append((i, xxhash.xxh3_128_digest(h.tobytes()), samples(h).view(np.int64).tolist(), h[:SKETCH].tobytes()))
+                rows.append((i, xxhash.xxh3_128_digest(h.tobytes()), samples(h).view(np.int64).tolist(), sketch(h).tobytes()))
         columns = list(zip(*rows)) or [()] * 4
         kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["node", "name", "samples", "sketch"])
@@ -152,7 +157,7 @@ def similarity_at_least(a: np.ndarray, b: np.ndarray, near: tuple[int, int] = NE
 
 def _verify(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     node = run["node"].to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in run["sketch"].to_pylist()]
+    sets = [np.frombuffer(x, np.uint32) for x in run["sketch"].to_pylist()]
     size, shared = np.array(list(map(len, sets))), overlaps(sets)
 
     def near(i: int, rest: np.ndarray) -> np.ndarray:
