@@ -38,6 +38,7 @@ LENGTH = 50
 GRAM = 16
 WINDOW = LENGTH - GRAM + 1
 COVER, MODULUS = (0, 1, 3), 7
+_COVERED = np.isin(np.arange(MODULUS), COVER)
 TIE = LENGTH - MODULUS + 1
 #: Hashes a bucket should hold.
 BUCKET = 60_000
@@ -158,7 +159,7 @@ def _send(bits: int, low: int):
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
     """The rank of each row by ``keys``, the first most significant; equal rows share it."""
-    order = np.lexsort(keys[::-1])
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     step = np.zeros(len(order), np.int64)
     for k in keys:
         step[1:] |= k[order][1:] != k[order][:-1]
@@ -167,6 +168,27 @@ def _dense(*keys: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of small non-negative numbers, and where in it each different one begins.
+
+    Number and place are sorted as one where they fit, which is much faster
+    than sorting places by number.
+    """
+    place = len(key).bit_length()
+    if len(key) and int(key.max()).bit_length() + place <= 63:
+        both = np.sort((key << place) | np.arange(len(key)))
+        order, key = both & ((1 << place) - 1), both >> place
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    return order, np.flatnonzero(np.diff(key, prepend=-1))
+
+
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for each pair of ranks."""
+    return (a << int(b.max(initial=0)).bit_length()) | b
+
+
 def smallest_ids(data: np.ndarray, start: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For the suffixes of ``data`` at ``start``, the smallest id among those equal to ``LENGTH`` bytes."""
     word = _words(data)
@@ -175,27 +197,23 @@ def smallest_ids(data: np.ndarray, start: np.ndarray, ids: np.ndarray) -> np.nda
     for shift in range(MODULUS):
         needed[start + shift] = True
     sample = np.flatnonzero(needed)
-    sample = sample[np.isin(sample % MODULUS, COVER)]
+    sample = sample[_COVERED[sample % MODULUS]]
     rank = np.zeros(len(needed), np.int64)
-    ends = [*range(0, TIE - 8, 8), TIE - 8]
-    rank[sample] = _dense(*(word[sample + e] for e in ends))
+    offsets = [*range(0, TIE - 8, 8), TIE - 8]
+    rank[sample] = _dense(*(word[sample + o] for o in offsets))
     # what the rank leaves out is in the first and the last 8 bytes
-    head, tail = _dense(word[start]), _dense(word[start + LENGTH - 8])
+    ends = _paired(_dense(word[start]), _dense(word[start + LENGTH - 8]))
+    order, first = _ordered(ends)
+    ends[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(ends)))
     out = ids.copy()
     for shift in range(MODULUS):
-        has = np.flatnonzero(np.isin((start + shift) % MODULUS, COVER))
+        has = np.flatnonzero(_COVERED[(start + shift) % MODULUS])
         if not len(has):
             continue
-        keys = head[has], rank[start[has] + shift], tail[has]
-        width = [int(k.max()).bit_length() for k in keys]
-        if sum(width) < 63:
-            key = (keys[0] << (width[1] + width[2])) | (keys[1] << width[2]) | keys[2]
-        else:
-            key = _dense(*keys)
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.diff(key[order], prepend=-1))
-        least = np.minimum.reduceat(ids[has][order], first)
-        out[has[order]] = np.minimum(out[has[order]], np.repeat(least, np.diff(first, append=len(has))))
+        order, first = _ordered(_paired(rank[start[has] + shift], ends[has]))
+        order = has[order]
+        least = np.minimum.reduceat(ids[order], first)
+        out[order] = np.minimum(out[order], np.repeat(least, np.diff(first, append=len(order))))
     return out
 
 
