@@ -104,6 +104,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: The stage's shingles, similarity (as a fraction) and samples; see similar_documents.
 WORDS, NEAR, SAMPLES, SKETCH = 5, (4, 5), 8, 512
+#: What sketches have to estimate for a pair to be compared whole: over five standard errors below NEAR.
+MAYBE = (7, 10)
+#: Whole shingle sets that are compared in one go.
+WHOLE = 256
 _random = np.random.default_rng(SEED)
 _XOR = _random.integers(0, 2**63, 3 * SAMPLES, np.uint64)
 _ODD = _random.integers(0, 2**63, 3 * SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,18 +159,58 @@ def similarity_at_least(a: np.ndarray, b: np.ndarray, near: tuple[int, int] = NE
     return near[1] * both >= near[0] * union
 
 
-def _verify(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    node = run["node"].to_numpy()
+def _maybe(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Links of names that may be similar: by whole sketches, or by ``MAYBE`` where one is cut at ``SKETCH``."""
+    name = np.array(run["name"].to_pylist(), object)
     sets = [np.frombuffer(x, np.uint32) for x in run["sketch"].to_pylist()]
     size, shared = np.array(list(map(len, sets))), overlaps(sets)
 
     def near(i: int, rest: np.ndarray) -> np.ndarray:
         both = shared(i)[rest]
-        ok = NEAR[1] * both >= NEAR[0] * np.minimum(SKETCH, size[i] + size[rest] - both)
-        full = ok & ((size[rest] == SKETCH) | (size[i] == SKETCH))
-        ok[full] = [similarity_at_least(sets[i], sets[j]) for j in rest[full].tolist()]
+        union = size[i] + size[rest] - both
+        full = (size[rest] == SKETCH) | (size[i] == SKETCH)
+        ok = np.where(full, MAYBE[1] * both >= MAYBE[0] * np.minimum(SKETCH, union), NEAR[1] * both >= NEAR[0] * union)
+        full &= ok
+        ok[full] = [similarity_at_least(sets[i], sets[j], MAYBE) for j in rest[full].tolist()]
         return ok
 
+    root = forest(len(name), near)
+    moved = np.flatnonzero(root != np.arange(len(name)))
+    return name[moved], name[root[moved]]
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, node, runs, text) -> a row for each run with the whole shingle set, where the text is the name's."""
+
+    def out() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["run", "node", "shingles"])
+
+    rows, size = [], 0
+    for b in batches:
+        for name, node, runs, t in zip(*(b.column(c).to_pylist() for c in range(3)), b.column(3)):
+            h = _shingle_set(t.as_buffer().to_pybytes()).tobytes()
+            if xxhash.xxh3_128_digest(h) != name:
+                continue
+            for run in runs:
+                rows.append((run, node, h))
+                size += len(h)
+                if size > PIECE:
+                    yield out()
+                    rows, size = [], 0
+    if rows:
+        yield out()
+
+
+def _verify(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    node = run["node"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in run["shingles"].to_pylist()]
+    size, shared = np.array(list(map(len, sets))), overlaps(sets)
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        both = shared(i)[rest]
+        return NEAR[1] * both >= NEAR[0] * (size[i] + size[rest] - both)
+
     root = forest(len(node), near)
     moved = np.flatnonzero(root != np.arange(len(node)))
     return node[moved], node[root[moved]]
@@ -181,10 +225,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     no selective key bridges.  So each text also has ``SAMPLES`` SimHashes of
     three shingles each, where similar texts mostly draw the same ones; texts
     that share one are verified and link at 0.8 or more.  Eight samples miss
-    three in a thousand pairs at 0.8, fewer above.  Texts of over ``SKETCH``
-    shingles are verified by that many of the smallest hashes of the whole
-    text (standard error 0.02).  Null ids and texts without a word link to
-    nothing here.
+    three in a thousand pairs at 0.8, fewer above.  Sketches only choose what
+    is compared (of texts of over ``SKETCH`` shingles with a margin of over
+    five standard errors): texts that may be similar form groups, and within
+    these the whole shingle sets are compared.  Null ids and texts without a
+    word link to nothing here.
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     prints = checkpointed(fingerprints(base, shingle=WORDS))
@@ -197,9 +242,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = drawn.groupBy("name").agg(F.min("node").alias("first"))
     same = drawn.select("node", "name").join(first, "name").select(F.col("node").alias("a"), F.col("first").alias("b"))
     alone = drawn.select("node", "name", "samples").join(first, "name").filter("node = first")
-    keys = alone.select("node", F.posexplode("samples").alias("k", "s")).select("node", F.xxhash64("k", "s").alias("key"))
-    runs = colliding(keys, "key", "node").select("run", "node")
-    pairs = linked(runs.join(drawn.select("node", "sketch").dropDuplicates(["node"]), "node"), _verify)
+    keys = alone.select("node", "name", F.posexplode("samples").alias("k", "s")).select("node", "name", F.xxhash64("k", "s").alias("key"))
+    runs = colliding(keys, "key", "node").select("run", "node", "name")
+    maybe = components(linked(runs.join(drawn.select("node", "sketch").dropDuplicates(["node"]), "node"), _maybe, "a binary, b binary"))
+    group = maybe.unionAll(maybe.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("name"), "root")
+    # each text is read and sent once, unless its group is very large
+    met = colliding(group.join(first, "name"), "root", "name", WHOLE).groupBy("name", "first").agg(F.collect_list("run").alias("runs"))
+    whole = text.join(met, F.col("doc_id") == F.col("first")).select("name", "first", "runs", "text")
+    pairs = linked(whole.mapInArrow(_whole, "run long, node long, shingles binary"), _verify)
     return components(bits.unionAll(same_print).unionAll(same).unionAll(pairs))
 
 

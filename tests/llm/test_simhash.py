@@ -195,3 +195,18 @@ def test_sketch_of_long_sets():
     a, b, c = np.sort(h[:5500]), np.sort(np.concatenate([h[:5200], h[5500:5700]])), np.sort(h[2000:])
     cut = simhash.sketch
     assert simhash.similarity_at_least(cut(a), cut(b)) and not simhash.similarity_at_least(cut(a), cut(c))
+
+
+def test_long_texts_are_judged_exactly(spark):
+    rng = np.random.default_rng(16)
+    texts = []
+    for changes in [88, 90] * 8:  # Jaccard 0.8018 and 0.7978
+        w = [f"w{x}" for x in rng.permutation(1 << 20)[:4000]]
+        texts.append(" ".join(w))
+        for k in range(changes):
+            w[20 + 40 * k] = f"changed{k}"
+        texts.append(" ".join(w))
+    assert all((jaccard(texts[i], texts[i + 1]) >= 0.8) == (i % 4 == 0) for i in range(0, len(texts), 2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["node"]: r["root"] for r in simhash.similar_documents(docs).collect()}
+    assert found == {i + 1: i for i in range(0, len(texts), 4)}
