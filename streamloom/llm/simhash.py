@@ -242,9 +242,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = drawn.groupBy("name").agg(F.min("node").alias("first"))
     same = drawn.select("node", "name").join(first, "name").select(F.col("node").alias("a"), F.col("first").alias("b"))
     alone = drawn.select("node", "name", "samples").join(first, "name").filter("node = first")
-    keys = alone.select("node", "name", F.posexplode("samples").alias("k", "s")).select("node", "name", F.xxhash64("k", "s").alias("key"))
-    runs = colliding(keys, "key", "node").select("run", "node", "name")
-    maybe = components(linked(runs.join(drawn.select("node", "sketch").dropDuplicates(["node"]), "node"), _maybe, "a binary, b binary"))
+    keys = alone.select("name", F.posexplode("samples").alias("k", "s")).select("name", F.xxhash64("k", "s").alias("key"))
+    runs = colliding(keys, "key", "name").select("run", "name")
+    # texts that share an id have sketches of their own
+    maybe = components(linked(runs.join(drawn.select("name", "sketch").dropDuplicates(["name"]), "name"), _maybe, "a binary, b binary"))
     group = maybe.unionAll(maybe.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("name"), "root")
     # each text is read and sent once, unless its group is very large
     met = colliding(group.join(first, "name"), "root", "name", WHOLE).groupBy("name", "first").agg(F.collect_list("run").alias("runs"))

@@ -210,3 +210,18 @@ def test_long_texts_are_judged_exactly(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     found = {r["node"]: r["root"] for r in simhash.similar_documents(docs).collect()}
     assert found == {i + 1: i for i in range(0, len(texts), 4)}
+
+
+def test_texts_that_share_an_id(spark):
+    rng = np.random.default_rng(17)
+    text = lambda: [f"w{x}" for x in rng.permutation(1 << 20)[:300]]
+    rows, want = [], {}
+    for i in range(0, 40, 4):
+        a, b = text(), text()
+        near = [[*t[:150], "changed", *t[151:]] for t in (a, b)]
+        # both texts of id i + 1 have a near copy of a smaller or larger id
+        rows += [(i + 1, " ".join(a)), (i + 1, " ".join(b)), (i, " ".join(near[0])), (i + 2, " ".join(near[1]))]
+        want |= {i + 1: i, i + 2: i}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 3):
+        assert {r["node"]: r["root"] for r in simhash.similar_documents(docs.repartition(parts)).collect()} == want
