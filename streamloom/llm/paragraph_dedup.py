@@ -6,6 +6,10 @@ set into a longer line is found by its own sentences.  Paragraphs of at least
 at a Jaccard similarity of 0.8 or more; of each component of links the first
 paragraph stays, by document id and place.
 
+Sentences of fewer words are compared in windows: one with the sentences
+before it, or after it, up to ``MIN_WORDS`` words or the text's end.  They go
+where the words of a window stand in an earlier place as well.
+
 Band keys are exchanged in chunks (see ``chunks``): only paragraphs that share
 a key with another one become rows.  Equal paragraphs are one row, whatever
 their number; a bucket of very many different ones is split into pairs of
@@ -72,24 +76,63 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+LINE, SENTENCE, WINDOW = range(3)
+
+
+def _windows(sizes: list[int]) -> set[tuple[int, int]]:
+    """(first, behind the last) of the windows of the short ones among paragraphs of so many words."""
+    out = set()
+    for k, n in enumerate(sizes):
+        if not 0 < n < MIN_WORDS:
+            continue
+        a, left = k, n
+        while left < MIN_WORDS and a > 0:
+            a -= 1
+            left += sizes[a]
+        z, right = k + 1, n
+        while right < MIN_WORDS and z < len(sizes):
+            right += sizes[z]
+            z += 1
+        if left >= MIN_WORDS:
+            out.add((a, k + 1))
+        if right >= MIN_WORDS:
+            out.add((k, z))
+        if left < MIN_WORDS and right < MIN_WORDS:
+            out.add((a, z))
+    return out
+
+
 class Paragraphs:
-    """The paragraphs of a chunk that are long enough: document, number in it, identity."""
+    """What is compared of a chunk: document, level, first paragraph and the one behind the last, identity."""
 
     def __init__(self, c: Chunk):
         raw = c.data.tobytes()
-        doc, number, name, self.words = [], [], [], []
+        self.doc, self.level, self.span, self.name, self.words = [], [], [], [], []
+        #: For each document the words of its paragraphs, counted.
+        self.sizes: list[list[int]] = []
+
+        def add(d: int, level: int, a: int, z: int, w: list[bytes]) -> None:
+            self.doc.append(d)
+            self.level.append(level)
+            self.span.append((a, z))
+            self.words.append([] if level == WINDOW else w)
+            # windows meet windows only
+            self.name.append(xxhash.xxh3_128_digest(b" ".join(w), WINDOW if level == WINDOW else 0))
+
         for d, (s, n) in enumerate(zip(c.starts.tolist(), c.sizes.tolist())):
             text = raw[s : s + n]
-            for k, (a, z) in enumerate(paragraphs(text)):
-                if z - a < 2 * MIN_WORDS - 1:
-                    continue
-                w = text[a:z].lower().split()
+            parts = [text[a:z] for a, z in paragraphs(text)]
+            words = [t.lower().split() for t in parts]
+            sizes = list(map(len, words))
+            self.sizes.append(sizes)
+            for k, w in enumerate(words):
                 if len(w) >= MIN_WORDS:
-                    doc.append(d)
-                    number.append(k)
-                    self.words.append(w)
-                    name.append(xxhash.xxh3_128_digest(b" ".join(w)))
-        self.doc, self.number, self.name = doc, number, name
+                    add(d, SENTENCE, k, k + 1, w)
+            for a, z in sorted(_windows(sizes)):
+                add(d, WINDOW, a, z, sum(words[a:z], []))
+
+    def place(self, i: int, ids: np.ndarray) -> bytes:
+        return place(int(ids[self.doc[i]]), 4 * self.span[i][0] + self.level[i])
 
     def once(self) -> list[int]:
         """One place of each different paragraph."""
@@ -104,7 +147,7 @@ class Paragraphs:
             if w not in known:
                 known[w] = xxhash.xxh64_intdigest(w, SEED)
         h = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
-        count = lengths - (SHINGLE - 1)
+        count = np.maximum(lengths - (SHINGLE - 1), 0)
         first = np.cumsum(lengths) - lengths
         at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
         out = np.zeros(len(at), np.uint64)
@@ -114,7 +157,21 @@ class Paragraphs:
         return out, count
 
     def keys(self, some: list[int]) -> np.ndarray:
-        """Their band keys, one row a paragraph."""
+        """Their band keys, one row a paragraph; a window's are all one key, of its name."""
+        window = np.array([self.level[i] == WINDOW for i in some], bool)
+        out = np.zeros((len(some), BANDS), np.uint64)
+        names = b"".join(self.name[i][:8] for i, w in zip(some, window) if w)
+        out[window] = np.frombuffer(names, np.uint64)[:, None]
+        out[~window] = self._bands([i for i, w in zip(some, window) if not w])
+        return out
+
+    def flat_keys(self, some: list[int]) -> np.ndarray:
+        """Their keys one after the other, of a window one."""
+        keys = self.keys(some)
+        window = np.array([self.level[i] == WINDOW for i in some], bool)
+        return np.concatenate([keys[~window].ravel(), keys[window, 0]])
+
+    def _bands(self, some: list[int]) -> np.ndarray:
         h, count = self.shingles(some)
         if not len(h):
             return np.zeros((0, BANDS), np.uint64)
@@ -133,7 +190,7 @@ def _ask(bits: int, low: int):
         for b in batches:
             for name, blob in zip(b.column(0).to_pylist(), (x.as_buffer() for x in b.column(1))):
                 p = Paragraphs(Chunk.unpacked(blob))
-                h = np.sort((p.keys(p.once()) >> np.uint64(64 - bits)).astype(np.int64).ravel())
+                h = np.sort((p.flat_keys(p.once()) >> np.uint64(64 - bits)).astype(np.int64))
                 first = np.flatnonzero(np.diff(h, prepend=-1))
                 # a paragraph that stands twice in the chunk is shared as well
                 again = len(p.name) > len(set(p.name))
@@ -144,7 +201,7 @@ def _ask(bits: int, low: int):
                     for n in p.name:
                         seen[n] = seen.get(n, 0) + 1
                     twice = [i for i in p.once() if seen[p.name[i]] > 1]
-                    many |= np.isin(h, (p.keys(twice) >> np.uint64(64 - bits)).astype(np.int64))
+                    many |= np.isin(h, (p.flat_keys(twice) >> np.uint64(64 - bits)).astype(np.int64))
                 if len(h):
                     mask = (1 << low) - 1
                     yield rows_batch([(name, 1, k, pack(np.diff(h[a:z] & mask, prepend=0), h[a:z] * 0, many[a:z].astype(np.int64))) for k, a, z in split(h, low)])
@@ -156,7 +213,7 @@ _SENT = "chunk string, name binary, place binary, n long, keys array<long>, shin
 
 
 def place(doc_id: int, number: int) -> bytes:
-    """A paragraph's place; places sort by document id, then by number."""
+    """A place; places sort by document id, then by number."""
     return struct.pack(">QI", doc_id + 2**63, number)
 
 
@@ -179,8 +236,8 @@ def _send(bits: int, low: int):
                 continue
             first: dict[bytes, bytes] = {}
             count: dict[bytes, int] = {}
-            for d, k, n in zip(p.doc, p.number, p.name):
-                at = place(int(c.ids[d]), k)
+            for i, n in enumerate(p.name):
+                at = p.place(i, c.ids)
                 count[n] = count.get(n, 0) + 1
                 if n not in first or at < first[n]:
                     first[n] = at
@@ -194,7 +251,8 @@ def _send(bits: int, low: int):
                     "name": names,
                     "place": [first[n] for n in names],
                     "n": [count[n] for n in names],
-                    "keys": [keys[i][hit[i]].view(np.int64).tolist() for i in some],
+                    # equal windows have met by name
+                    "keys": [[] if p.level[once[i]] == WINDOW else keys[i][hit[i]].view(np.int64).tolist() for i in some],
                     "shingles": own,
                 },
                 schema=pa.schema([("chunk", pa.string()), ("name", pa.binary()), ("place", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary())]),
@@ -234,10 +292,13 @@ def _cut(texts: bool):
             gone: dict[int, dict[int, bytes]] = {}
             if root:
                 p = Paragraphs(c)
-                for d, k, n in zip(p.doc, p.number, p.name):
+                for i, n in enumerate(p.name):
                     r = root.get(n)
-                    if r is not None and r != place(int(c.ids[d]), k):
-                        gone.setdefault(d, {})[k] = r
+                    if r is not None and r != p.place(i, c.ids):
+                        d = p.doc[i]
+                        for k in range(*p.span[i]):
+                            if p.level[i] != WINDOW or p.sizes[d][k] < MIN_WORDS:
+                                gone.setdefault(d, {}).setdefault(k, r)
             out = []
             for d, (i, s, n) in enumerate(zip(c.ids.tolist(), c.starts.tolist(), c.sizes.tolist())):
                 text = raw[s : s + n]
@@ -267,7 +328,7 @@ def remove_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    n = max(size // 120 * BANDS, 1)
+    n = max(size // 60 * BANDS, 1)
     top = max((n // BUCKET).bit_length(), 2)
     bits = min(max(n.bit_length() + 14, top + 8), 62)
     low = bits - top

@@ -108,3 +108,16 @@ def test_passage_within_a_line(spark):
     got = {r["doc_id"]: r for r in m.remove_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), texts=True).collect()}
     assert got[1]["n_removed"] == 0 and list(got[2]["repeats_of"]) == [1]
     assert b"Nobody" not in bytes(got[2]["kept"])
+
+
+def kept(spark, rows):
+    return {r["doc_id"]: bytes(r["kept"]).decode() for r in m.remove_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), texts=True).collect()}
+
+
+def test_short_sentences(spark):
+    passage = "He came. They saw him there. Nobody spoke at all. Then the old man who had waited since the morning stood up. He left. It rained."
+    alone = "One two three. Four five six. Seven eight nine."
+    rows = [(1, "Start here.\n" + passage + "\nBut yes."), (2, "Other words.\n" + passage + "\nAnd no."), (3, alone), (4, "Go on.\n" + alone + "\nBut yes."), (5, "Hi all."), (6, "Hi all.")]
+    got = kept(spark, rows)
+    assert got[1] == rows[0][1] and got[3] == alone and got[5] == "Hi all."
+    assert got[2] == "Other words.\nAnd no." and got[4] == "Go on.\nBut yes." and got[6] == ""
