@@ -4,7 +4,8 @@ A paragraph is a sentence or a line, whichever ends first, so that a passage
 set into a longer line is found by its own sentences.  Paragraphs of at least
 ``MIN_WORDS`` words are compared by their sets of five-word shingles and link
 at a Jaccard similarity of 0.8 or more; of each component of links the first
-paragraph stays, by document id and place.
+paragraph stays, by document id and place.  Lines of several sentences are
+compared in the same way beside their sentences and go as a whole.
 
 Sentences of fewer words are compared in windows: one with the sentences
 before it, or after it, up to ``MIN_WORDS`` words or the text's end.  They go
@@ -125,9 +126,14 @@ class Paragraphs:
             words = [t.lower().split() for t in parts]
             sizes = list(map(len, words))
             self.sizes.append(sizes)
+            first = 0
             for k, w in enumerate(words):
                 if len(w) >= MIN_WORDS:
                     add(d, SENTENCE, k, k + 1, w)
+                if b"\n" in parts[k] or k + 1 == len(parts):
+                    if sum(map(bool, sizes[first : k + 1])) > 1 and sum(sizes[first : k + 1]) >= MIN_WORDS:
+                        add(d, LINE, first, k + 1, sum(words[first : k + 1], []))
+                    first = k + 1
             for a, z in sorted(_windows(sizes)):
                 add(d, WINDOW, a, z, sum(words[a:z], []))
 

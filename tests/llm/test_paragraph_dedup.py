@@ -121,3 +121,12 @@ def test_short_sentences(spark):
     got = kept(spark, rows)
     assert got[1] == rows[0][1] and got[3] == alone and got[5] == "Hi all."
     assert got[2] == "Other words.\nAnd no." and got[4] == "Go on.\nBut yes." and got[6] == ""
+
+
+def test_lines_beside_sentences(spark):
+    words = [f"w{k}" for k in range(120)]
+    line = lambda w: ". ".join(" ".join(w[k : k + 12]) for k in range(0, 120, 12)) + "."
+    near = [*words[:30], "changed", *words[31:]]
+    far = [f"changed{k}" if k % 12 == 6 else w for k, w in enumerate(words)]
+    got = kept(spark, [(1, line(words)), (2, "Before this line.\n" + line(near)), (3, line(far))])
+    assert got == {1: line(words), 2: "Before this line.\n", 3: line(far)}
