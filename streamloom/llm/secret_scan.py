@@ -14,6 +14,7 @@ import base64
 import math
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,6 +36,9 @@ _NAMED = re.compile(
 )
 _KNOWN = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}"
 _PREFIX = re.compile(rf"(?:{_KNOWN})")
+_KEY = re.compile(rf"(?<![A-Za-z0-9])(?:{_KNOWN})(?![A-Za-z0-9])")
+#: One of these stands in whatever ``_KEY`` matches.
+_STARTS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk_live_", "eyJ")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 _RUN = re.compile(r"(?<![A-Za-z0-9_+/=~-])[A-Za-z0-9_+/=~-]{16,}")
 _DIGIT = re.compile("[0-9]")
@@ -88,17 +92,46 @@ def features(value: str, before: str, after: str, path: str, named: bool) -> lis
     ]
 
 
+def _outside(span: tuple[int, int], keys: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of ``span`` that no key of the sorted ``keys`` covers."""
+    at, end = span
+    out = []
+    for a, z in keys[max(bisect_right(keys, (at, at)) - 1, 0) :]:
+        if a >= end:
+            break
+        if a > at:
+            out.append((at, a))
+        at = max(at, z)
+    return [*out, (at, end)] if at < end else out
+
+
 def candidates(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, named) of what may be secrets, by start; of overlapping ones the first and longest."""
+    """(start, end, named) of what may be secrets, by start; of overlapping ones the first and longest.
+
+    A key of a known form goes before the run it stands in, whose other parts
+    are runs of their own; within a named value it is that value's.
+    """
     found = {}
     if "=" in text or ":" in text:
         for m in _NAMED.finditer(text):
             found[m.span("v")] = True
+    keys = [m.span() for m in _KEY.finditer(text)] if any(s in text for s in _STARTS) else []
+    named = sorted(found)
+    for a, z in keys:
+        at = bisect_right(named, (a, len(text))) - 1
+        if at < 0 or named[at][1] < z:
+            # a named value that ends or starts within the key is a part of it
+            cut = [s for s in named if s[0] < z and s[1] > a]
+            for s in cut:
+                del found[s]
+            named = [s for s in named if s not in cut]
+            found[a, z] = bool(cut)
     if _DIGIT.search(text):
         for m in _RUN.finditer(text):
-            v = m.group()
-            if _DIGIT.search(v) and re.search("[A-Za-z]", v):
-                found.setdefault(m.span(), False)
+            for a, z in _outside(m.span(), keys):
+                v = text[a:z]
+                if z - a >= 16 and _DIGIT.search(v) and re.search("[A-Za-z]", v):
+                    found.setdefault((a, z), False)
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
             found[m.span()] = True

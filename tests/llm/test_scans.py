@@ -63,3 +63,23 @@ def test_secrets(spark):
     assert (got[4]["n_candidates"], got[4]["n_secrets"]) == (1, 0)
     assert got[2]["n_candidates"] == 0 and got[None]["spans"] == ""
     assert secret_scan.secret_report(df).count() == len(rows) and secret_scan.secret_report(df.limit(0)).count() == 0
+
+
+def test_known_keys_without_names():
+    rng = np.random.default_rng(8)
+    pick = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    letters = "abcdefghijkmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    jwt = ".".join(["eyJ" + pick(letters + "0123456789", 33), "eyJ" + pick(letters + "0123456789", 50), pick(letters + "0123456789_-", 42) + "x"])
+    stripe, aws, rest = "sk_live_" + pick(letters, 24), "AKIA" + pick(letters.upper() + "0123456789", 16), pick(letters + "0123456789", 30) + "7a"
+    for text, want in [
+        (f"we saw {jwt} in the log", [jwt]),
+        (f"it was {jwt}.", [jwt]),
+        (f"we saw {stripe} in the log", [stripe]),
+        (f"AWS_ACCESS_KEY_ID={aws}", [aws]),
+        (f"https://a.b/{aws}/{rest} ", [aws, "/" + rest]),
+        (f"token={jwt} ", [jwt]),
+    ]:
+        spots = secret_scan.candidates(text)
+        assert [text[a:z] for a, z, _ in spots] == want, text
+        x = [secret_scan.features(text[a:z], text[max(0, a - 60) : a], text[z : z + 30], "", n) for a, z, n in spots]
+        assert secret_scan.forest().predict(np.array(x))[0] >= secret_scan.THRESHOLD, text
