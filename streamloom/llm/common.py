@@ -19,15 +19,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the context's checkpoint directory, else ``spark.checkpoint.dir``.
 
-    The cluster's ``spark.checkpoint.dir`` is used; only where it is unset
-    (single-machine tests) a temporary folder is.
+    Where neither is set a local session (tests) gets a temporary folder; on
+    a cluster there is none that could be guessed, so that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get(CHECKPOINT_CONF) or tempfile.mkdtemp(prefix="streamloom-checkpoint-"))
+        named = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF)
+        if not named and sc.master.partition("[")[0] != "local":
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="streamloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -87,18 +96,37 @@ def prefix_sums(a: Column, block: int = 256) -> Column:
     return let(a, lambda v: F.when(F.size(v) > 0, over(v)).otherwise(F.array().cast("array<int>")))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    return spark.sparkContext.getConf().get(CHECKPOINT_CONF) or tempfile.mkdtemp(prefix="streamloom-shared-")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def delete(df: DataFrame) -> None:
+    """Removes the table that :func:`written` made; nothing may read it any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """:func:`written` for tables that nothing reads after the block; they are deleted then."""
+    made: list[DataFrame] = []
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
+
+    try:
+        yield write
+    finally:
+        for df in made:
+            delete(df)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
     """Actions within hand Python at most ``size`` of rows at a time, so that large rows don't pile up."""
