@@ -1,7 +1,9 @@
 """Documents in chunks, and exchanges between chunks and buckets of hashes.
 
 Rows are few and large: what a chunk tells a bucket is one compressed blob,
-so hashes cost a few bytes each on their way.
+so hashes cost a few bytes each on their way.  A chunk has about ``CHUNK``
+bytes and a bucket about ``BUCKET`` hashes, which keeps the row of a chunk and
+a bucket at hundreds of hashes or more up to some ten TB of text.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 22
+#: Hashes that a bucket should hold; one bucket is in memory at a time.
+BUCKET = 1 << 20
 #: Stands for a null id, which is larger than all others.
 LAST = 2**63 - 1
 CHUNKS = "chunk string, blob binary"
@@ -115,20 +119,57 @@ def split(values: np.ndarray, low: int) -> list[tuple[int, int, int]]:
     return [(int(top[a]), a, b) for a, b in zip(cuts, cuts[1:])]
 
 
-def answer(batches):
-    """Bucket -> for each chunk those of its hashes that two documents or more have."""
-    for rows in groups(batches, "bucket"):
-        parts = [unpack(r[3]) for r in rows]
-        h = np.concatenate([np.cumsum(p[0]) for p in parts])
-        many = np.concatenate([p[2] for p in parts]) > 0
-        owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        order = np.argsort(h, kind="stable")
-        first = np.flatnonzero(np.diff(h[order], prepend=-1))
-        size = np.diff(first, append=len(h))
-        shared = np.empty(len(h), bool)
-        shared[order] = np.repeat((size > 1) | np.logical_or.reduceat(many[order], first), size)
-        h, owner = h[shared], owner[shared]
-        cuts = np.searchsorted(owner, np.arange(len(parts) + 1))
-        out = [(r[0], 1, r[2], pack(np.diff(h[a:z], prepend=0))) for r, a, z in zip(rows, cuts, cuts[1:]) if a < z]
-        if out:
-            yield rows_batch(out)
+def widths(hashes: int, bucket: int) -> tuple[int, int]:
+    """(bits of a hash, bits of it within a bucket) for so many hashes; false hits of the hash only cost time."""
+    top = max((hashes // bucket).bit_length(), 2)
+    bits = min(max(hashes.bit_length() + 14, top + 8), 62)
+    return bits, bits - top
+
+
+def told(h: np.ndarray, count: np.ndarray, many: np.ndarray, name: str, low: int) -> list[tuple]:
+    """For each bucket a row with a chunk's sorted hashes, how often each is there and whether that alone makes it shared."""
+    mask = (1 << low) - 1
+    return [(name, 1, k, pack(np.diff(h[a:z] & mask, prepend=0), count[a:z], many[a:z].astype(np.int64))) for k, a, z in split(h, low)]
+
+
+def answer(hot: int = LAST):
+    """Bucket -> for each chunk those of its hashes that another has too, or that the chunk calls shared.
+
+    With each comes whether all chunks together have it over ``hot`` times.
+    """
+
+    def each(batches):
+        for rows in groups(batches, "bucket"):
+            parts = [unpack(r[3]) for r in rows]
+            h = np.concatenate([np.cumsum(p[0]) for p in parts])
+            count = np.concatenate([p[1] for p in parts])
+            many = np.concatenate([p[2] for p in parts]) > 0
+            owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
+            del parts
+            order = np.argsort(h, kind="stable")
+            first = np.flatnonzero(np.diff(h[order], prepend=-1))
+            size = np.diff(first, append=len(h))
+            shared, often = np.empty(len(h), bool), np.empty(len(h), bool)
+            shared[order] = np.repeat((size > 1) | np.logical_or.reduceat(many[order], first), size)
+            often[order] = np.repeat(np.add.reduceat(count[order], first) > hot, size)
+            h, often, owner = h[shared], often[shared], owner[shared]
+            cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+            out = [(r[0], 1, r[2], pack(np.diff(h[a:z], prepend=0), often[a:z].astype(np.int64))) for r, a, z in zip(rows, cuts, cuts[1:]) if a < z]
+            if out:
+                yield rows_batch(out)
+
+    return each
+
+
+def answered(rows: list[tuple], low: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted shared hashes that the buckets' ``rows`` hold, and which of them are hot."""
+    parts = [unpack(r[3]) for r in rows]
+    h = np.concatenate([(r[2] << low) + np.cumsum(p[0]) for r, p in zip(rows, parts)])
+    order = np.argsort(h)
+    return h[order], np.concatenate([p[1] for p in parts])[order] > 0
+
+
+def found(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each of ``h`` its place in the sorted ``known``, -1 where it isn't there."""
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, at, -1)

@@ -50,10 +50,12 @@ def corpus():
     return out
 
 
-@pytest.mark.parametrize("chunk, bucket", [(1 << 21, 150_000), (1500, 40)])
-def test_against_all_substrings(spark, monkeypatch, chunk, bucket):
+@pytest.mark.parametrize("chunk, bucket, hot, piece", [(1 << 21, 150_000, 1 << 16, 1 << 19), (1500, 40, 1 << 16, 100), (1500, 40, 3, 333)])
+def test_against_all_substrings(spark, monkeypatch, chunk, bucket, hot, piece):
     monkeypatch.setattr(chunks, "CHUNK", chunk)
     monkeypatch.setattr(m, "BUCKET", bucket)
+    monkeypatch.setattr(m, "HOT", hot)
+    monkeypatch.setattr(m, "PIECE", piece)
     texts = corpus()
     rng = np.random.default_rng(8)
     ids = rng.permutation(len(texts)).tolist()
@@ -64,6 +66,22 @@ def test_against_all_substrings(spark, monkeypatch, chunk, bucket):
     assert sum(r[2] for r in want) > 1000
 
 
+def test_line_in_every_chunk(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "CHUNK", 200)
+    monkeypatch.setattr(m, "HOT", 20)
+    line = "This one line of some sixty bytes stands in each of the documents."
+    rows = [(i, f"{i * i * 7919:030d} {line} {i * 104729:025d}") for i in range(150)]
+    assert fast(spark.createDataFrame(rows, "doc_id long, text string")) == slow(rows)
+
+
+def test_very_long_text(spark):
+    rng = np.random.default_rng(10)
+    long = rng.integers(97, 123, 6 << 20).astype(np.uint8).tobytes().decode()
+    rows = [(1, long), (2, "x" + long[1 << 20 : 3 << 20] + "y"), (3, "z" * 3_000_000), (4, "z" * 60)]
+    got = fast(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r[1:4] for r in got] == [(6 << 20, 0, 0), ((2 << 20) + 2, 2 << 20, 1), (3_000_000, 0, 0), (60, 60, 1)]
+
+
 def test_odd_rows(spark):
     long = "The same sixty bytes or so stand in each of these documents, whole."
     rows = [(5, long), (5, long), (3, None), (None, long), (4, "x" + long), (9, "")]
