@@ -127,6 +127,18 @@ def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
             delete(df)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries within remove their shuffle files when they end, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
     """Actions within hand Python at most ``size`` of rows at a time, so that large rows don't pile up."""

@@ -9,46 +9,44 @@ compared in the same way beside their sentences and go as a whole.
 
 Sentences of fewer words are compared in windows: one with the sentences
 before it, or after it, up to ``MIN_WORDS`` words or the text's end.  They go
-where the words of a window stand in an earlier place as well.
+where the words of a window stand in an earlier place as well.  Nothing goes
+that wasn't compared.
 
 Band keys are exchanged in chunks (see ``chunks``): only paragraphs that share
 a key with another one become rows.  Equal paragraphs are one row, whatever
 their number; a bucket of very many different ones is split into pairs of
-blocks, and each pair that isn't linked already is verified.
+blocks.  Band keys with the same paragraphs are one meeting, so a pair that
+shares all its bands is verified once.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import CHUNKS, LAST, ROW, Chunk, answer, by, chunks_of, groups, pack, rows_batch, split, text_rows, unpack
-from .common import small_batches, written
+from .chunks import BUCKET, CHUNKS, LAST, ROW, Chunk, answer, answered, by, chunks_of, found, groups, rows_batch, text_rows, told, widths
+from .common import scratch, small_batches, tidy, written
 from .components import components
-from .runs import colliding, forest, linked, overlaps
+from .runs import linked_sets, meetings
+from .textarrays import Words, mixed, ranges, sequence_hashes, text_shingles
 
 SHINGLE, MIN_WORDS = 5, 8
 #: Jaccard similarity that links, as a fraction.
 NEAR = (4, 5)
 RECALL = 0.995
 SEED = 42
-BUCKET = 60_000
-_END = re.compile(rb"[.!?][ \t\r\x0b\x0c]+|[ \t\r\x0b\x0c]*\n\s*")
-_U64 = (1 << 64) - 1
 
 
-def tuned(similarity: float = NEAR[0] / NEAR[1], recall: float = RECALL, rows: int = 2) -> tuple[int, int]:
+def tuned(similarity: float = NEAR[0] / NEAR[1], recall: float = RECALL, rows: int = 3) -> tuple[int, int]:
     """(bands, rows): the fewest bands of ``rows`` rows that find a pair of this similarity with this chance.
 
-    At 0.8 that is 6 bands of 2 rows, which miss 0.2% of pairs; at 0.9 they
+    At 0.8 that is 8 bands of 3 rows, which miss 0.3% of pairs; at 0.9 they
     miss one in 20,000.
     """
     bands = 1
@@ -61,161 +59,137 @@ BANDS, ROWS = tuned()
 _random = np.random.default_rng(SEED)
 _XOR = _random.integers(0, 2**63, BANDS * ROWS, np.uint64)
 _ODD = _random.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _random.integers(0, 2**63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def paragraphs(text: bytes) -> list[tuple[int, int]]:
-    """(start, end) of each paragraph, the white space after it included."""
-    ends = [m.end() for m in _END.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    return [(a, z) for a, z in zip([0, *ends], ends) if a < z]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
 
 LINE, SENTENCE, WINDOW = range(3)
 
 
-def _windows(sizes: list[int]) -> set[tuple[int, int]]:
-    """(first, behind the last) of the windows of the short ones among paragraphs of so many words."""
-    out = set()
-    for k, n in enumerate(sizes):
-        if not 0 < n < MIN_WORDS:
-            continue
-        a, left = k, n
-        while left < MIN_WORDS and a > 0:
-            a -= 1
-            left += sizes[a]
-        z, right = k + 1, n
-        while right < MIN_WORDS and z < len(sizes):
-            right += sizes[z]
-            z += 1
-        if left >= MIN_WORDS:
-            out.add((a, k + 1))
-        if right >= MIN_WORDS:
-            out.add((k, z))
-        if left < MIN_WORDS and right < MIN_WORDS:
-            out.add((a, z))
-    return out
+def _windows(first: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, behind the last) of the windows of the short ones among sentences.
+
+    ``first`` and ``last`` are the words each starts with and ends before,
+    ``low`` and ``high`` the sentences its text starts with and ends before.
+    """
+    short = np.flatnonzero(last - first < MIN_WORDS)
+    low, high = low[short], high[short]
+    before = np.maximum(np.searchsorted(first, last[short] - MIN_WORDS, "right") - 1, low)
+    after = np.minimum(np.searchsorted(last, first[short] + MIN_WORDS, "left") + 1, high)
+    left = last[short] - first[before] >= MIN_WORDS
+    right = last[after - 1] - first[short] >= MIN_WORDS
+    alone = ~left & ~right
+    pairs = np.concatenate(
+        [
+            np.stack([before, short + 1], 1)[left],
+            np.stack([short, after], 1)[right],
+            np.stack([before, after], 1)[alone],
+        ]
+    )
+    n = len(first) + 1
+    return np.divmod(np.unique(pairs[:, 0] * n + pairs[:, 1]), n)
 
 
 class Paragraphs:
-    """What is compared of a chunk: document, level, first paragraph and the one behind the last, identity."""
+    """What is compared of a chunk: level, first sentence and the one behind the last, 128-bit name of each unit.
 
-    def __init__(self, c: Chunk):
-        raw = c.data.tobytes()
-        self.doc, self.level, self.span, self.name, self.words = [], [], [], [], []
-        #: For each document the words of its paragraphs, counted.
-        self.sizes: list[list[int]] = []
-
-        def add(d: int, level: int, a: int, z: int, w: list[bytes]) -> None:
-            self.doc.append(d)
-            self.level.append(level)
-            self.span.append((a, z))
-            self.words.append([] if level == WINDOW else w)
-            # windows meet windows only
-            self.name.append(xxhash.xxh3_128_digest(b" ".join(w), WINDOW if level == WINDOW else 0))
-
-        for d, (s, n) in enumerate(zip(c.starts.tolist(), c.sizes.tolist())):
-            text = raw[s : s + n]
-            parts = [text[a:z] for a, z in paragraphs(text)]
-            words = [t.lower().split() for t in parts]
-            sizes = list(map(len, words))
-            self.sizes.append(sizes)
-            first = 0
-            for k, w in enumerate(words):
-                if len(w) >= MIN_WORDS:
-                    add(d, SENTENCE, k, k + 1, w)
-                if b"\n" in parts[k] or k + 1 == len(parts):
-                    if sum(map(bool, sizes[first : k + 1])) > 1 and sum(sizes[first : k + 1]) >= MIN_WORDS:
-                        add(d, LINE, first, k + 1, sum(words[first : k + 1], []))
-                    first = k + 1
-            for a, z in sorted(_windows(sizes)):
-                add(d, WINDOW, a, z, sum(words[a:z], []))
-
-    def place(self, i: int, ids: np.ndarray) -> bytes:
-        return place(int(ids[self.doc[i]]), 4 * self.span[i][0] + self.level[i])
-
-    def once(self) -> list[int]:
-        """One place of each different paragraph."""
-        return list({n: i for i, n in enumerate(self.name)}.values())
-
-    def shingles(self, some: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """The shingle hashes of ``some`` paragraphs, and how many each has."""
-        lengths = np.array([len(self.words[i]) for i in some], np.int64)
-        known: dict[bytes, int] = {}
-        flat = [w for i in some for w in self.words[i]]
-        for w in flat:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w, SEED)
-        h = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
-        count = np.maximum(lengths - (SHINGLE - 1), 0)
-        first = np.cumsum(lengths) - lengths
-        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        out = np.zeros(len(at), np.uint64)
-        for k, p in enumerate(_PLACE):
-            out += h[at + k] * p
-            out = _mixed(out)
-        return out, count
-
-    def keys(self, some: list[int]) -> np.ndarray:
-        """Their band keys, one row a paragraph; a window's are all one key, of its name."""
-        window = np.array([self.level[i] == WINDOW for i in some], bool)
-        out = np.zeros((len(some), BANDS), np.uint64)
-        names = b"".join(self.name[i][:8] for i, w in zip(some, window) if w)
-        out[window] = np.frombuffer(names, np.uint64)[:, None]
-        out[~window] = self._bands([i for i, w in zip(some, window) if not w])
-        return out
+    ``first`` and ``last`` are the words of the sentences, ``doc`` their
+    documents and ``number`` their places in these.
+    """
 
-    def flat_keys(self, some: list[int]) -> np.ndarray:
-        """Their keys one after the other, of a window one."""
-        keys = self.keys(some)
-        window = np.array([self.level[i] == WINDOW for i in some], bool)
-        return np.concatenate([keys[~window].ravel(), keys[window, 0]])
-
-    def _bands(self, some: list[int]) -> np.ndarray:
-        h, count = self.shingles(some)
-        if not len(h):
-            return np.zeros((0, BANDS), np.uint64)
-        first = np.cumsum(count) - count
-        least = np.stack([np.minimum.reduceat(_mixed((h ^ x) * o), first) for x, o in zip(_XOR, _ODD)], axis=1)
-        out = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(some), axis=0)
-        for r in range(ROWS):
-            out = _mixed(out * np.uint64(0xD6E8FEB86659FD93) + least[:, r::ROWS])
+    def __init__(self, c: Chunk):
+        self.chunk, self.words = c, Words(c.data, c.starts, c.sizes)
+        w = self.words
+        line, sentence = w.ends()
+        self.last = np.flatnonzero(sentence) + 1
+        self.first = np.concatenate([[0], self.last[:-1]]).astype(np.int64)[: len(self.last)]
+        self.doc = w.doc[self.first] if len(w) else np.zeros(0, np.int64)
+        per_doc = np.bincount(self.doc, minlength=len(c.starts))
+        below = np.cumsum(per_doc) - per_doc
+        self.per_doc, self.below = per_doc, below
+        self.number = np.arange(len(self.doc)) - below[self.doc]
+        size = self.last - self.first
+        some = np.flatnonzero(size >= MIN_WORDS)
+        # sentences behind the last of each line
+        z = np.flatnonzero(line[self.last - 1]) + 1
+        a = np.concatenate([[0], z[:-1]]).astype(np.int64)[: len(z)]
+        several = (z - a > 1) & (self.last[z - 1] - self.first[a] >= MIN_WORDS) if len(z) else np.zeros(0, bool)
+        a, z = a[several], z[several]
+        x, y = _windows(self.first, self.last, below[self.doc], (below + per_doc)[self.doc]) if len(some) < len(size) else (some[:0], some[:0])
+        self.level = np.repeat([SENTENCE, LINE, WINDOW], [len(some), len(a), len(x)])
+        self.a, self.z = np.concatenate([some, a, x]), np.concatenate([some + 1, z, y])
+        from_, to = self.first[self.a], self.last[self.z - 1]
+        # windows meet windows only
+        name = [sequence_hashes(mixed(w.hash + np.uint64(k)), from_, to, k) for k in (2, 3)]
+        name[0] = np.where(self.level == WINDOW, mixed(name[0] + np.uint64(WINDOW)), name[0])
+        self.name = np.stack(name, axis=1) if len(from_) else np.zeros((0, 2), np.uint64)
+        # one of each different unit, how often it is there, and which of them each is
+        order = np.lexsort((name[1], name[0]))
+        new = np.ones(len(order), bool)
+        new[1:] = (self.name[order[1:]] != self.name[order[:-1]]).any(axis=1)
+        self.once, self.which = order[new], np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.times = np.bincount(self.which, minlength=len(self.once))
+
+    def place(self, i: int) -> bytes:
+        return place(int(self.chunk.ids[self.doc[self.a[i]]]), 4 * int(self.number[self.a[i]]) + int(self.level[i]))
+
+    def earliest(self) -> np.ndarray:
+        """Of each different unit the one whose place is first."""
+        order = np.lexsort((self.level, self.number[self.a], self.chunk.ids[self.doc[self.a]], self.which))
+        return order[np.flatnonzero(np.diff(self.which[order], prepend=-1))]
+
+    def text(self, i: int) -> bytes:
+        w = self.words
+        return self.chunk.data[w.at[self.first[self.a[i]]] : w.to[self.last[self.z[i] - 1] - 1]].tobytes()
+
+    def keys(self) -> np.ndarray:
+        """The band keys of each different unit, one row a unit; a window's are all one key, of its name."""
+        out = np.empty((len(self.once), BANDS), np.uint64)
+        level = self.level[self.once]
+        out[:] = self.name[self.once, :1]
+        if not (level != WINDOW).any():
+            return out
+        h = self.words.shingles(SHINGLE)
+        for kind in (SENTENCE, LINE):
+            rows = np.flatnonzero(level == kind)
+            if not len(rows):
+                continue
+            # units of one level don't overlap; a range ends before the next one begins
+            unit = self.once[rows]
+            order = np.argsort(self.a[unit])
+            rows, unit = rows[order], unit[order]
+            from_, to = self.first[self.a[unit]], self.last[self.z[unit] - 1] - (SHINGLE - 1)
+            cut = np.stack([from_, to], axis=1).ravel()
+            band = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(unit), axis=0)
+            for k, (x, o) in enumerate(zip(_XOR, _ODD)):
+                least = np.minimum.reduceat((h ^ x) * o, cut)[::2]
+                band[:, k // ROWS] = mixed(band[:, k // ROWS] * np.uint64(0xD6E8FEB86659FD93) + least)
+            out[rows] = band
         return out
 
 
 def _ask(bits: int, low: int):
-    """Chunk -> for each bucket the band keys of its paragraphs, and which several of them have."""
+    """Chunk -> for each bucket the band keys of its units, and which several of them have."""
 
     def each(batches):
         for b in batches:
             for name, blob in zip(b.column(0).to_pylist(), (x.as_buffer() for x in b.column(1))):
                 p = Paragraphs(Chunk.unpacked(blob))
-                h = np.sort((p.flat_keys(p.once()) >> np.uint64(64 - bits)).astype(np.int64))
+                if not len(p.once):
+                    continue
+                window = p.level[p.once] == WINDOW
+                keys = (p.keys() >> np.uint64(64 - bits)).astype(np.int64)
+                h = np.concatenate([keys[~window].ravel(), keys[window, 0]])
+                times = np.concatenate([np.repeat(p.times[~window], BANDS), p.times[window]])
+                order = np.argsort(h, kind="stable")
+                h = h[order]
                 first = np.flatnonzero(np.diff(h, prepend=-1))
-                # a paragraph that stands twice in the chunk is shared as well
-                again = len(p.name) > len(set(p.name))
-                many = np.diff(first, append=len(h)) > 1
-                h = h[first]
-                if again:
-                    seen: dict = {}
-                    for n in p.name:
-                        seen[n] = seen.get(n, 0) + 1
-                    twice = [i for i in p.once() if seen[p.name[i]] > 1]
-                    many |= np.isin(h, (p.flat_keys(twice) >> np.uint64(64 - bits)).astype(np.int64))
-                if len(h):
-                    mask = (1 << low) - 1
-                    yield rows_batch([(name, 1, k, pack(np.diff(h[a:z] & mask, prepend=0), h[a:z] * 0, many[a:z].astype(np.int64))) for k, a, z in split(h, low)])
+                # also a unit that stands twice in the chunk makes its keys shared
+                count = np.add.reduceat(times[order], first)
+                yield rows_batch(told(h[first], count, count > 1, name, low))
 
     return each
 
 
-_SENT = "chunk string, name binary, place binary, n long, keys array<long>, shingles binary"
+_SENT = pa.schema([("chunk", pa.string()), ("name", pa.binary()), ("place", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
 def place(doc_id: int, number: int) -> bytes:
@@ -224,100 +198,101 @@ def place(doc_id: int, number: int) -> bytes:
 
 
 def _send(bits: int, low: int):
-    """Chunk and answers -> a row for each paragraph that may have a partner."""
+    """Chunk and answers -> a row for each unit that may have a partner."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, "chunk"):
             if len(rows) < 2:
                 continue
-            known = np.sort(np.concatenate([(r[2] << low) + np.cumsum(unpack(r[3])[0]) for r in rows[1:]]))
-            c = Chunk.unpacked(rows[0][3])
-            p = Paragraphs(c)
-            once = p.once()
-            keys = p.keys(once)
-            h = (keys >> np.uint64(64 - bits)).astype(np.int64)
-            hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-            some = np.flatnonzero(hit.any(axis=1)).tolist()
-            if not some:
-                continue
-            first: dict[bytes, bytes] = {}
-            count: dict[bytes, int] = {}
-            for i, n in enumerate(p.name):
-                at = p.place(i, c.ids)
-                count[n] = count.get(n, 0) + 1
-                if n not in first or at < first[n]:
-                    first[n] = at
-            s, size = p.shingles([once[i] for i in some])
-            ends = np.cumsum(size).tolist()
-            own = [np.unique(s[a:z]).tobytes() for a, z in zip([0, *ends], ends)]
-            names = [p.name[once[i]] for i in some]
+            known, _ = answered(rows[1:], low)
+            p = Paragraphs(Chunk.unpacked(rows[0][3]))
+            keys = p.keys()
+            hit = found(known, (keys >> np.uint64(64 - bits)).astype(np.int64).ravel()).reshape(keys.shape) >= 0
+            some = np.flatnonzero(hit.any(axis=1))
+            early, window = p.earliest()[some].tolist(), (p.level[p.once[some]] == WINDOW).tolist()
+            names = p.name[early].astype(">u8").tobytes()
             yield pa.RecordBatch.from_pydict(
                 {
                     "chunk": [rows[0][0]] * len(some),
-                    "name": names,
-                    "place": [first[n] for n in names],
-                    "n": [count[n] for n in names],
+                    "name": [names[16 * k : 16 * k + 16] for k in range(len(some))],
+                    "place": [p.place(i) for i in early],
+                    "n": p.times[some],
                     # equal windows have met by name
-                    "keys": [[] if p.level[once[i]] == WINDOW else keys[i][hit[i]].view(np.int64).tolist() for i in some],
-                    "shingles": own,
+                    "keys": [[] if w else keys[k][hit[k]].view(np.int64) for k, w in zip(some.tolist(), window)],
                 },
-                schema=pa.schema([("chunk", pa.string()), ("name", pa.binary()), ("place", pa.binary()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary())]),
+                schema=_SENT,
             )
 
     return each
 
 
-def _compare(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    node = np.array(run["place"].to_pylist(), object)
-    sets = [np.frombuffer(x, np.uint64) for x in run["shingles"].to_pylist()]
-    n, size = len(sets), np.array(list(map(len, sets)))
-    shared = overlaps(sets)
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunk and the runs of its units -> a row for each run of each, with the words."""
+    for rows in groups(batches, "chunk"):
+        if len(rows) < 2:
+            continue
+        p = Paragraphs(Chunk.unpacked(rows[0][3]))
+        asked = np.frombuffer(b"".join(r[3].to_pybytes() for r in rows[1:]), ">u8").astype(np.uint64).reshape(-1, 3)
+        name = p.name[p.once]
+        # names are in order; those with the same first half follow each other
+        at = np.searchsorted(name[:, 0], asked[:, 0])
+        while (other := name[at, 1] != asked[:, 1]).any():
+            at += other
+        early = p.earliest()[at].tolist()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(asked[:, 2].view(np.int64)), pa.array([p.place(i) for i in early], pa.binary()), pa.array([p.text(i) for i in early], pa.binary())],
+            ["run", "node", "text"],
+        )
 
-    def near(i: int, rest: np.ndarray) -> np.ndarray:
-        both = shared(i)[rest]
-        return NEAR[1] * both >= NEAR[0] * (size[i] + size[rest] - both)
 
-    root = forest(n, near)
-    moved = np.flatnonzero(root != np.arange(n))
-    return node[moved], node[root[moved]]
+def _sets(run: pa.Table) -> list[np.ndarray]:
+    return [np.unique(h) for h in text_shingles(run["text"].to_pylist(), SHINGLE)]
 
 
 _REPORT = "doc_id long, n_paragraphs long, n_removed long, n_bytes long, kept_bytes long, kept_sha256 string, repeats_of array<long>, kept binary"
 
 
 def _cut(texts: bool):
-    """Chunk and the roots of its paragraphs -> what stays of each document."""
+    """Chunk and the roots of its units -> what stays of each document."""
     kinds = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.int64()), pa.binary()]
     names = ["doc_id", "n_paragraphs", "n_removed", "n_bytes", "kept_bytes", "kept_sha256", "repeats_of", "kept"]
 
+    def gone(p: Paragraphs, rows: list[tuple]) -> tuple[np.ndarray, dict[int, set[int]]]:
+        """Which sentences go, and the documents that theirs repeat."""
+        out, of = np.zeros(len(p.doc), bool), {}
+        root = {b[:16]: b[16:] for b in (r[3].to_pybytes() for r in rows)}
+        if not root:
+            return out, of
+        raw = p.name.astype(">u8").tobytes()
+        roots = [root.get(raw[16 * i : 16 * i + 16]) for i in p.once.tolist()]
+        moved = np.array([r is not None for r in roots])
+        short = p.last - p.first < MIN_WORDS
+        for i in np.flatnonzero(moved[p.which]).tolist():
+            r = roots[p.which[i]]
+            if r != p.place(i):
+                a, z = int(p.a[i]), int(p.z[i])
+                out[a:z] |= short[a:z] if p.level[i] == WINDOW else True
+                of.setdefault(int(p.doc[a]), set()).add(struct.unpack_from(">Q", r)[0] - 2**63)
+        return out, of
+
     def each(batches):
         for rows in groups(batches, "chunk"):
             c = Chunk.unpacked(rows[0][3])
-            root = {b[:16]: b[16:] for b in (r[3].to_pybytes() for r in rows[1:])}
-            raw = c.data.tobytes()
-            gone: dict[int, dict[int, bytes]] = {}
-            if root:
-                p = Paragraphs(c)
-                for i, n in enumerate(p.name):
-                    r = root.get(n)
-                    if r is not None and r != p.place(i, c.ids):
-                        d = p.doc[i]
-                        for k in range(*p.span[i]):
-                            if p.level[i] != WINDOW or p.sizes[d][k] < MIN_WORDS:
-                                gone.setdefault(d, {}).setdefault(k, r)
+            p = Paragraphs(c)
+            cut, of = gone(p, rows[1:])
+            # a sentence reaches to the next one, a text's first starts with it
+            from_ = np.where(p.number > 0, p.words.at[p.first], c.starts[p.doc]) if len(p.doc) else p.doc
+            last = p.number + 1 == p.per_doc[p.doc]
+            to = np.where(last, (c.starts + c.sizes)[p.doc], np.append(from_[1:], 0)) if len(p.doc) else p.doc
+            stays = np.ones(len(c.data), bool)
+            stays[ranges(from_[cut], (to - from_)[cut])] = False
+            removed = np.bincount(p.doc[cut], minlength=len(c.ids)).tolist()
             out = []
             for d, (i, s, n) in enumerate(zip(c.ids.tolist(), c.starts.tolist(), c.sizes.tolist())):
-                text = raw[s : s + n]
-                bounds = paragraphs(text)
-                cut = gone.get(d, {})
-                removed = set(cut)
-                for k in range(1, len(bounds) - 1):
-                    # a short paragraph between two that go is part of the same passage
-                    if k not in removed and k - 1 in removed and k + 1 in cut and len(text[slice(*bounds[k])].split()) < MIN_WORDS:
-                        removed.add(k)
-                kept = b"".join(text[a:z] for k, (a, z) in enumerate(bounds) if k not in removed)
-                of = sorted({struct.unpack(">QI", r)[0] - 2**63 for r in cut.values()} - {i})
-                out.append((None if i == LAST else i, len(bounds), len(removed), n, len(kept), hashlib.sha256(kept).hexdigest(), of, kept if texts else None))
+                text = c.data[s : s + n]
+                kept = (text[stays[s : s + n]] if removed[d] else text).tobytes()
+                repeats = sorted(of.get(d, set()) - {i})
+                out.append((None if i == LAST else i, int(p.per_doc[d]), removed[d], n, len(kept), hashlib.sha256(kept).hexdigest(), repeats, kept if texts else None))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
     return each
@@ -334,23 +309,29 @@ def remove_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     size = base.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    n = max(size // 60 * BANDS, 1)
-    top = max((n // BUCKET).bit_length(), 2)
-    bits = min(max(n.bit_length() + 14, top + 8), 62)
-    low = bits - top
-    with small_batches(docs.sparkSession):
-        chunks = written(base.mapInArrow(chunks_of, CHUNKS), "chunks")
+    bits, low = widths(max(size // 60 * BANDS, 1), BUCKET)
+
+    def row(chunk: str, *parts: str | Column) -> list[Column]:
+        return [F.col(chunk).alias("chunk"), F.lit(1).alias("kind"), F.lit(0).alias("bucket"), F.concat(*parts).alias("blob")]
+
+    with small_batches(docs.sparkSession), tidy(docs.sparkSession), scratch() as kept:
+        chunks = kept(base.mapInArrow(chunks_of, CHUNKS), "chunks")
         of_text = text_rows(chunks)
-        shared = by("bucket", chunks.mapInArrow(_ask(bits, low), ROW)).mapInArrow(answer, ROW)
-        sent = written(by("chunk", of_text.unionAll(shared)).mapInArrow(_send(bits, low), _SENT), "paragraphs")
-        # equal paragraphs are one node, the first of their places; the key and
-        # the shingles are the same for all of them
-        nodes = sent.groupBy("name").agg(F.min("place").alias("place"), F.sum("n").alias("n"), F.first("keys").alias("keys"), F.first("shingles").alias("shingles"))
-        nodes = written(nodes, "nodes")
-        rows = nodes.select(F.explode("keys").alias("key"), "place", "shingles")
-        found = components(linked(colliding(rows, "key", "place"), _compare, "a binary, b binary"))
-        rooted = nodes.select("name", "place", "n").join(found, F.col("place") == F.col("node"), "left")
+        shared = by("bucket", chunks.mapInArrow(_ask(bits, low), ROW)).mapInArrow(answer(), ROW)
+        sent = kept(by("chunk", of_text.unionAll(shared)).mapInArrow(_send(bits, low), "chunk string, name binary, place binary, n long, keys array<long>"), "paragraphs")
+        # equal paragraphs are one node, the first of their places; the keys
+        # and the words are the same for all of them
+        first = F.min(F.struct("place", "chunk")).alias("first")
+        nodes = sent.groupBy("name").agg(first, F.sum("n").alias("n"), F.first("keys").alias("keys"))
+        nodes = kept(nodes.select("name", F.xxhash64("name").alias("id"), "first.place", "first.chunk", "n", "keys"), "nodes")
+        # keys meet first, without texts; by 64 bits of a name, which only chooses what is compared
+        met = kept(meetings(nodes.select(F.explode("keys").alias("key"), "id"), "key", "id"), "meetings")
+        asked = nodes.select("id", "name", "chunk").join(met, "id")
+        run = F.unhex(F.lpad(F.hex("run"), 16, "0"))
+        text = by("chunk", of_text.unionAll(asked.select(*row("chunk", "name", run)))).mapInArrow(_texts, "run long, node binary, text binary")
+        links = kept(linked_sets(text, _sets, NEAR, "a binary, b binary"), "links")
+        rooted = nodes.select("name", "place", "n").join(components(links), F.col("place") == F.col("node"), "left")
         moved = rooted.filter("n > 1 or root is not null").select("name", F.coalesce("root", "place").alias("root"))
         # the rows that hold a very frequent paragraph are one a chunk at most
-        told = sent.select("chunk", "name").join(moved, "name").select("chunk", F.lit(1).alias("kind"), F.lit(0).alias("bucket"), F.concat("name", "root").alias("blob"))
-        return written(by("chunk", of_text.unionAll(told)).mapInArrow(_cut(texts), _REPORT), "cut")
+        gone = sent.select("chunk", "name").join(moved, "name").select(*row("chunk", "name", "root"))
+        return written(by("chunk", of_text.unionAll(gone)).mapInArrow(_cut(texts), _REPORT), "cut")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import BUCKET, CHUNKS, LAST, ROW, Chunk, answer, answered, by, chunks_of, found, groups, pack, rows_batch, split, text_rows, told, unpack, widths
-from .common import scratch, small_batches, written
+from .common import scratch, small_batches, tidy, written
 
 LENGTH = 50
 GRAM = 16
@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = base.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     # about a 17th of all positions start a run
     bits, low = widths(max(size // 17, 1), BUCKET)
-    with small_batches(docs.sparkSession), scratch() as kept:
+    with small_batches(docs.sparkSession), tidy(docs.sparkSession), scratch() as kept:
         chunks = kept(base.mapInArrow(chunks_of, CHUNKS), "chunks")
         of_text = text_rows(chunks)
         asked = chunks.mapInArrow(_ask(bits, low), ROW)

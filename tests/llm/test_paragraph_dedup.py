@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -11,42 +12,85 @@ def shingles(words):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
+def sentences(text):
+    """[(sentence with the white space behind it, its words, whether a line ends)] of a text that has a word."""
+    out, white = [], rb"[ \t\n\x0b\x0c\r]"
+    for m_ in re.finditer(rb"([^ \t\n\x0b\x0c\r]+)(" + white + rb"*)", text):
+        line = b"\n" in m_[2]
+        if not out or out[-1][3]:
+            out.append([b"", [], False, False])
+        own = out[-1]
+        own[0] += m_[0]
+        own[1].append(m_[1].lower())
+        own[2], own[3] = line, line or m_[1][-1:] in (b".", b"!", b"?")
+    if out:
+        lead = len(text) - sum(len(x[0]) for x in out)
+        out[0][0] = text[:lead] + out[0][0]
+        out[-1][2] = True
+    return out
+
+
+def units(parts):
+    """(level, first, behind the last) of what is compared of a text's sentences."""
+    size = [len(w) for _, w, *_ in parts]
+    out, first = [], 0
+    for k, (_, _, line, _) in enumerate(parts):
+        if size[k] >= m.MIN_WORDS:
+            out.append((m.SENTENCE, k, k + 1))
+        else:
+            a, z = k, k + 1
+            while sum(size[a : k + 1]) < m.MIN_WORDS and a:
+                a -= 1
+            while sum(size[k:z]) < m.MIN_WORDS and z < len(size):
+                z += 1
+            left, right = sum(size[a : k + 1]) >= m.MIN_WORDS, sum(size[k:z]) >= m.MIN_WORDS
+            out += [(m.WINDOW, a, k + 1)] * left + [(m.WINDOW, k, z)] * right + [(m.WINDOW, a, z)] * (not left and not right)
+        if line:
+            if k > first and sum(size[first : k + 1]) >= m.MIN_WORDS:
+                out.append((m.LINE, first, k + 1))
+            first = k + 1
+    return sorted(set(out))
+
+
 def slow(rows):
-    units = []
+    """Every pair of units is compared."""
+    own = lambda i: m.LAST if i is None else i
+    nodes, texts = [], []
     for i, t in rows:
-        b = (t or "").encode()
-        for k, (a, z) in enumerate(m.paragraphs(b)):
-            w = b[a:z].lower().split()
-            if len(w) >= m.MIN_WORDS:
-                units.append((m.LAST if i is None else i, k, shingles(w)))
-    units.sort(key=lambda u: u[:2])
-    parent = list(range(len(units)))
+        parts = sentences((t or "").encode())
+        texts.append(parts)
+        for level, a, z in units(parts):
+            w = sum((parts[k][1] for k in range(a, z)), [])
+            nodes.append(((own(i), 4 * a + level), level == m.WINDOW, w, shingles(w)))
+    nodes.sort(key=lambda u: u[0])
+    parent = list(range(len(nodes)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for x in range(len(units)):
+    for x, (_, window, w, s) in enumerate(nodes):
         for y in range(x):
-            a, b = units[x][2], units[y][2]
-            if 5 * len(a & b) >= 4 * len(a | b):
+            _, other, v, t = nodes[y]
+            if window == other and (w == v if window else 5 * len(s & t) >= 4 * len(s | t)):
                 p, q = sorted((find(x), find(y)))
                 parent[q] = p
-    root = {u[:2]: units[find(x)][:2] for x, u in enumerate(units)}
+    # rows that share an id share places, so a place may have several units
+    root = {}
+    for x, (at, window, w, _) in enumerate(nodes):
+        root[at, window, tuple(w)] = nodes[find(x)][0]
     out = []
-    for i, t in rows:
-        b = (t or "").encode()
-        own = m.LAST if i is None else i
-        bounds = m.paragraphs(b)
-        cut = {k for k in range(len(bounds)) if root.get((own, k), (own, k)) != (own, k)}
-        gone = set(cut)
-        for k in range(1, len(bounds) - 1):
-            if k - 1 in gone and k + 1 in cut and len(b[slice(*bounds[k])].split()) < m.MIN_WORDS:
-                gone.add(k)
-        kept = b"".join(b[a:z] for k, (a, z) in enumerate(bounds) if k not in gone)
-        of = sorted({root[own, k][0] for k in cut} - {own})
-        out.append((i, len(bounds), len(gone), hashlib.sha256(kept).hexdigest(), of))
+    for (i, t), parts in zip(rows, texts):
+        b, gone, of = (t or "").encode(), set(), set()
+        for level, a, z in units(parts):
+            at = (own(i), 4 * a + level)
+            r = root[at, level == m.WINDOW, tuple(sum((parts[k][1] for k in range(a, z)), []))]
+            if r != at:
+                of.add(r[0])
+                gone |= {k for k in range(a, z) if level != m.WINDOW or len(parts[k][1]) < m.MIN_WORDS}
+        kept = b"".join(x[0] for k, x in enumerate(parts) if k not in gone) if parts else b
+        out.append((i, len(parts), len(gone), hashlib.sha256(kept).hexdigest(), sorted(of - {own(i)})))
     return sorted(out, key=str)
 
 
@@ -123,6 +167,30 @@ def test_short_sentences(spark):
     assert got[2] == "Other words.\nAnd no." and got[4] == "Go on.\nBut yes." and got[6] == ""
 
 
+def test_unique_short_sentence_stays(spark):
+    a = "This sentence of more than eight words stands in both of them."
+    b = "And so does this one, which has as many words as that."
+    assert kept(spark, [(1, f"{a} {b}"), (2, f"{a} Dosage: 50 mg. {b}")])[2] == "Dosage: 50 mg. "
+
+
+def test_hot_bucket_is_split(spark, monkeypatch):
+    from streamloom.llm import runs
+
+    monkeypatch.setitem(runs.meetings.__kwdefaults__, "block", 8)
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in range(60)]
+    got = kept(spark, list(enumerate(near)))
+    assert got[0] == near[0] and [i for i, t in got.items() if t] == [0]
+
+
+def test_very_long_text(spark):
+    rng = np.random.default_rng(13)
+    words = [f"w{k}" for k in range(5000)]
+    long = ". ".join(" ".join(rng.choice(words, 12)) for _ in range(80_000)) + "."
+    got = kept(spark, [(1, "Start.\n" + long), (2, long + "\nEnd."), (3, "y" * 3_000_000)])
+    assert got[1] == "Start.\n" + long and got[2] == "End." and got[3] == "y" * 3_000_000
+
+
 def test_lines_beside_sentences(spark):
     words = [f"w{k}" for k in range(120)]
     line = lambda w: ". ".join(" ".join(w[k : k + 12]) for k in range(0, 120, 12)) + "."
