@@ -63,22 +63,22 @@ def indices(words: np.ndarray) -> np.ndarray:
 def keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of each fuzzy key of 64-bit ``fingerprints``.
 
-    Of at most 3 differing bits none falls into one of the four 16-bit
-    segments at least, and of the two halves of the other 48 bits one has at
-    most one.  A key is such a segment with a codeword index of such a half,
-    so two fingerprints within 3 bits share a key.
+    Of at most 3 differing bits in four 16-bit segments either two segments
+    have none, or one has none and each other segment one.  For the first case
+    a key is a pair of whole segments; for the second it is a whole segment
+    with codeword indices of the next two.  So two fingerprints within 3 bits
+    share a key, and a key tells 32 bits or more apart.
     """
     f = fingerprints.astype(np.uint64)
-    segment = [(f >> np.uint64(16 * i)) & np.uint64(0xFFFF) for i in range(4)]
+    segment = [((f >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) for i in range(4)]
+    index = [indices(s) for s in segment]
     rows, out = [], []
+    for kind, (i, j) in enumerate(combinations(range(4), 2)):
+        rows.append(np.arange(len(f)))
+        out.append(segment[i] | segment[j] << 16 | kind << 40)
     for i in range(4):
-        a, b, c = (segment[j] for j in range(4) if j != i)
-        rest = a | b << np.uint64(16) | c << np.uint64(32)
-        for half in range(2):
-            # 24 bits, of which one is left out
-            word = (rest >> np.uint64(24 * half)) & np.uint64((1 << LENGTH) - 1)
-            index = indices(word)
-            r, k = np.nonzero(index >= 0)
-            rows.append(r)
-            out.append((index[r, k] | segment[i][r].astype(np.int64) << 12 | (2 * i + half) << 28).astype(np.int64))
+        a, b = index[(i + 1) % 4], index[(i + 2) % 4]
+        r, x, y = np.nonzero((a >= 0)[:, :, None] & (b >= 0)[:, None, :])
+        rows.append(r)
+        out.append(segment[i][r] | a[r, x] << 16 | b[r, y] << 28 | (6 + i) << 40)
     return np.concatenate(rows), np.concatenate(out)

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import checkpointed, written
+from .common import checkpointed, scratch
 from .components import components
-from .runs import colliding, forest, linked, overlaps
+from .runs import colliding, forest, linked, meetings, overlaps
+from .textarrays import text_shingles
 
 SHINGLE = 3
 SEED = 42
@@ -87,10 +88,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     some = prints.filter("doc_id is not null")
-    # copies share a fingerprint: one row stands for all of them
-    nodes = some.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    # copies share a fingerprint: one row stands for all of them; written, so
+    # that joins to it can split a fingerprint of very many copies
+    nodes = checkpointed(some.groupBy("fp").agg(F.min("doc_id").alias("node")))
     keys = nodes.mapInArrow(_keys, "key long, fp long, node long")
-    links = linked(colliding(keys, "key", "fp"), _compare)
+    links = linked(meetings(keys, "key", "fp", "node"), _compare)
     same = some.join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     repeated = same.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).filter("lo < hi")
     found = components(links.unionAll(repeated.select(F.col("lo").alias("a"), F.col("hi").alias("b"))))
@@ -113,16 +115,10 @@ _XOR = _random.integers(0, 2**63, 3 * SAMPLES, np.uint64)
 _ODD = _random.integers(0, 2**63, 3 * SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _shingle_set(text: bytes) -> np.ndarray:
-    """The sorted hashes of a text's different shingles; of fewer words the one there is."""
-    found, tail = [], []
-    for piece in _pieces(text.lower()):
-        w = tail + piece
-        parts = list(map(b" ".join, zip(*(w[i:] for i in range(WORDS)))))
-        found.append(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)))
-        tail = w[-(WORDS - 1) :]
-    h = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    return h if len(h) or not tail else np.array([xxhash.xxh64_intdigest(b" ".join(tail), SEED)], np.uint64)
+def whole_print(h: np.ndarray) -> int:
+    """The SimHash of a text with the shingle hashes ``h``, as a signed number."""
+    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
 def samples(h: np.ndarray) -> np.ndarray:
@@ -138,15 +134,27 @@ def sketch(h: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
     for b in batches:
         rows = []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-            h = _shingle_set(t.as_buffer().to_pybytes())
+        for i, h in zip(b.column(0).to_pylist(), text_shingles((t.as_buffer().to_pybytes() for t in b.column(1)), WORDS)):
             if len(h):
-                rows.append((i, xxhash.xxh3_128_digest(h.tobytes()), samples(h).view(np.int64).tolist(), sketch(h).tobytes()))
-        columns = list(zip(*rows)) or [()] * 4
-        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["node", "name", "samples", "sketch"])
+                fp, h = whole_print(h), np.unique(h)
+                rows.append((i, xxhash.xxh3_128_digest(h.tobytes()), fp, samples(h).view(np.int64).tolist(), sketch(h).tobytes()))
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["node", "name", "fp", "samples", "sketch"])
+
+
+def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, fp, samples) -> a row for each Golay key of the text's SimHash, and for each sample."""
+    for b in batches:
+        name, fp = b.column(0), b.column(1).to_numpy().view(np.uint64)
+        row, key = golay.keys(fp)
+        drawn = b.column(2).flatten().to_numpy().reshape(len(fp), SAMPLES).view(np.uint64)
+        # of a sample its number and as many bits as leave room for that
+        own = (drawn >> np.uint64(8) | np.arange(SAMPLES, dtype=np.uint64) << np.uint64(56) | np.uint64(1 << 63)).view(np.int64)
+        at = np.concatenate([row, np.repeat(np.arange(len(fp)), SAMPLES)])
+        yield pa.RecordBatch.from_arrays([name.take(pa.array(at)), pa.array(np.concatenate([key, own.ravel()]))], ["name", "key"])
 
 
 def similarity_at_least(a: np.ndarray, b: np.ndarray, near: tuple[int, int] = NEAR, size: int = SKETCH) -> bool:
@@ -188,8 +196,9 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rows, size = [], 0
     for b in batches:
-        for name, node, runs, t in zip(*(b.column(c).to_pylist() for c in range(3)), b.column(3)):
-            h = _shingle_set(t.as_buffer().to_pybytes()).tobytes()
+        texts = text_shingles((t.as_buffer().to_pybytes() for t in b.column(3)), WORDS)
+        for name, node, runs, h in zip(*(b.column(c).to_pylist() for c in range(3)), texts):
+            h = np.unique(h).tobytes()
             if xxhash.xxh3_128_digest(h) != name:
                 continue
             for run in runs:
@@ -219,46 +228,44 @@ def _verify(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """node, root for each id that isn't the smallest of its group of near duplicates.
 
-    Two texts link whose SimHashes of five-word shingles differ in at most 3
-    bits (found by Golay keys), as in :func:`near_duplicates`.  At a Jaccard
-    similarity of 0.8 SimHashes of whole texts differ in about 10 bits, which
-    no selective key bridges.  So each text also has ``SAMPLES`` SimHashes of
-    three shingles each, where similar texts mostly draw the same ones; texts
-    that share one are verified and link at 0.8 or more.  Eight samples miss
-    three in a thousand pairs at 0.8, fewer above.  Sketches only choose what
-    is compared (of texts of over ``SKETCH`` shingles with a margin of over
-    five standard errors): texts that may be similar form groups, and within
-    these the whole shingle sets are compared.  Null ids and texts without a
-    word link to nothing here.
+    Two texts link at a Jaccard similarity of their five-word shingles of 0.8
+    or more.  Candidates share a Golay key of their SimHashes, as in
+    :func:`near_duplicates`.  At a similarity of 0.8 SimHashes of whole texts
+    differ in about 10 bits, which no selective key bridges.  So each text
+    also has ``SAMPLES`` SimHashes of three shingles each, where similar texts
+    mostly draw the same ones; texts that share one are candidates as well.
+    Eight samples miss three in a thousand pairs at 0.8, fewer above.
+    Sketches only choose what is compared (of texts of over ``SKETCH``
+    shingles with a margin of over five standard errors): texts that may be
+    similar form groups, and within these the whole shingle sets are compared.
+    Null ids and texts without a word link to nothing here.
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    prints = checkpointed(fingerprints(base, shingle=WORDS))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    bits = linked(colliding(nodes.filter("fp != 0").mapInArrow(_keys, "key long, fp long, node long"), "key", "fp"), _compare)
-    same_print = prints.filter("fp != 0").join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     text = base.filter("text is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    drawn = written(text.mapInArrow(_sketches, "node long, name binary, samples array<long>, sketch binary"), "sketches")
-    # texts with the same shingles: one stands for all of them
-    first = drawn.groupBy("name").agg(F.min("node").alias("first"))
-    same = drawn.select("node", "name").join(first, "name").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    alone = drawn.select("node", "name", "samples").join(first, "name").filter("node = first")
-    keys = alone.select("name", F.posexplode("samples").alias("k", "s")).select("name", F.xxhash64("k", "s").alias("key"))
-    runs = colliding(keys, "key", "name").select("run", "name")
-    # texts that share an id have sketches of their own
-    maybe = components(linked(runs.join(drawn.select("name", "sketch").dropDuplicates(["name"]), "name"), _maybe, "a binary, b binary"))
-    group = maybe.unionAll(maybe.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("name"), "root")
-    # each text is read and sent once, unless its group is very large
-    met = colliding(group.join(first, "name"), "root", "name", WHOLE).groupBy("name", "first").agg(F.collect_list("run").alias("runs"))
-    whole = text.join(met, F.col("doc_id") == F.col("first")).select("name", "first", "runs", "text")
-    pairs = linked(whole.mapInArrow(_whole, "run long, node long, shingles binary"), _verify)
-    return components(bits.unionAll(same_print).unionAll(same).unionAll(pairs))
+    with scratch() as kept:
+        drawn = kept(text.mapInArrow(_sketches, "node long, name binary, fp long, samples array<long>, sketch binary"), "sketches")
+        # texts with the same shingles: one stands for all of them
+        first = checkpointed(drawn.groupBy("name").agg(F.min("node").alias("first")))
+        same = drawn.select("node", "name").join(first, "name").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        # texts that share an id have names, and sketches, of their own
+        alone = drawn.select("name", "node", "fp", "samples").join(first, "name").filter("node = first").dropDuplicates(["name"])
+        keys = alone.select("name", "fp", "samples").mapInArrow(_all_keys, "name binary, key long")
+        met = meetings(keys, "key", "name")
+        maybe = components(linked(met.join(drawn.select("name", "sketch").dropDuplicates(["name"]), "name"), _maybe, "a binary, b binary"))
+        group = maybe.unionAll(maybe.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("name"), "root")
+        # each text is read and sent once, unless its group is very large
+        runs = colliding(group.join(first, "name"), "root", "name", WHOLE).groupBy("name", "first").agg(F.collect_list("run").alias("runs"))
+        whole = text.join(runs, F.col("doc_id") == F.col("first")).select("name", "first", "runs", "text")
+        pairs = linked(whole.mapInArrow(_whole, "run long, node long, shingles binary"), _verify)
+        return components(same.unionAll(pairs))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the smallest id of each group of :func:`similar_documents` left, columns unchanged.
 
-    One row stays of rows that share an id; rows with a null id all stay, and
-    so do texts without a word.
+    One row stays of rows that share an id, any of them; rows with a null id
+    all stay, and so do texts without a word.  Very long texts are compared
+    whole.
     """
     gone = similar_documents(docs, id_col, text_col).select(F.col("node").alias("_loom_id")).distinct()
     names = [F.col(f"`{c}`") for c in docs.columns]

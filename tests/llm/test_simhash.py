@@ -182,11 +182,10 @@ def test_similar_documents_against_all_pairs(spark):
     assert len(clear) > 60
     missed = [p for p in clear if found.get(p[0], p[0]) != found.get(p[1], p[1])]
     assert len(missed) <= 0.01 * len(clear)
-    # nothing links but what is similar: each group is connected by pairs above 0.8 or by SimHashes within 3 bits
-    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    # nothing links but what is similar: each group is connected by pairs above 0.8
     for node, root in found.items():
         group = [i for i in range(len(texts)) if found.get(i, i) == root and i != node]
-        assert any(jaccard(texts[node], texts[i]) >= 0.8 or (prints[node] ^ prints[i]).bit_count() <= 3 for i in group)
+        assert any(jaccard(texts[node], texts[i]) >= 0.8 for i in group)
 
 
 def test_sketch_of_long_sets():
