@@ -1,10 +1,11 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by exact length.  Each source takes whole passes over
-its documents, then for the words that are left over it takes its share of
-every length count, and bounded-knapsack dynamic programming over the
-documents that are left fits the last words exactly or as near as sums of
-lengths come.  Which documents of a length are taken follows a seeded hash.
+its documents; bounded-knapsack dynamic programming over all its lengths then
+fits the words that are left over exactly, or as near from below as sums of
+lengths come.  Where these words are more than a table holds, an even share of
+every length goes first and half a table is left to fit, from all documents
+that are left.  Which documents of a length are taken follows a seeded hash.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_PASSES = 2
 SEED = 42
-#: Words that the dynamic programming is left to fit.
-DP_WORDS = 1 << 16
+#: Words that a table of the dynamic programming reaches, or four times the longest document if that is more.
+TABLE = 1 << 20
 #: Documents of one source and length that are ranked together.
-RANKED = 8192
+RANKED = 512
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, most: int = MOST_PASSES) -> dict:
@@ -40,15 +41,18 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
 
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take so that their words come as near ``budget`` from below as sums allow."""
-    reach, first, items = 1, np.full(budget + 1, -1, np.int64), []
+    reach, first, items = 1, np.full(budget + 1, -1, np.int32), []
+    whole = (1 << (budget + 1)) - 1
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         n, part = min(counts[i], budget // lengths[i] if lengths[i] else 0), 1
         while n > 0 and not reach >> budget & 1:
             k = min(part, n)
-            new = (reach << (k * lengths[i])) & ((1 << (budget + 1)) - 1) & ~reach
+            new = (reach << (k * lengths[i])) & whole & ~reach
             if new:
-                bits = np.unpackbits(np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8), bitorder="little")
-                first[np.flatnonzero(bits[: budget + 1])] = len(items)
+                raw = np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8)
+                some = np.flatnonzero(raw)
+                at, bit = np.nonzero(np.unpackbits(raw[some, None], axis=1, bitorder="little"))
+                first[8 * some[at] + bit] = len(items)
             items.append((i, k))
             reach, n, part = reach | new, n - k, part * 2
     at, take = reach.bit_length() - 1, [0] * len(lengths)
@@ -67,17 +71,18 @@ def plan_source(lengths: list[int], counts: list[int], target: float) -> tuple[i
     passes, rest = divmod(int(target + 0.5), size)
     if passes >= MOST_PASSES:
         return MOST_PASSES, [0] * len(lengths)
-    take = [n * rest // size if a else 0 for a, n in zip(lengths, counts)]
-    rest -= sum(a * k for a, k in zip(lengths, take))
-    for keep in (DP_WORDS, 0):  # the second pass is for lengths over DP_WORDS
+    take, table = [0] * len(lengths), max(TABLE, 4 * max(lengths))
+    if rest > table:
+        aim, due, taken = rest - table // 2, 0, 0
+        # what rounding leaves of one length falls to the shorter ones
         for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-            if rest > 2 * DP_WORDS and lengths[i]:
-                k = min(counts[i] - take[i], (rest - keep) // lengths[i])
-                take[i], rest = take[i] + k, rest - k * lengths[i]
-    if rest <= 2 * DP_WORDS:
-        more = fit(lengths, [n - k for n, k in zip(counts, take)], rest)
-        take = [a + b for a, b in zip(take, more)]
-    return passes, take
+            due += lengths[i] * counts[i] * aim
+            if lengths[i]:
+                take[i] = min(counts[i], (due // size - taken) // lengths[i])
+                taken += take[i] * lengths[i]
+        rest -= taken
+    more = fit(lengths, [n - k for n, k in zip(counts, take)], rest)
+    return passes, [a + b for a, b in zip(take, more)]
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,9 +97,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``times`` is how often the mix takes the document (0 to 2) and ``taken``
     its words, repeats counted.  A null text has size 0, null is a source of
     its own, and an empty document is taken with its source's whole passes.
-    Rows repeated with the same id are documents of their own.  The table of
-    sources (a name and a number each) is planned on the driver; of documents
-    only counts by source and length are.  Reruns agree.
+    Rows repeated with the same id are documents of their own.  The driver
+    plans the table of sources, a name and a number each; counts by source and
+    length stay on the executors, where a source's are one task.  An empty
+    table gives none.  Reruns agree.
     """
     spark = docs.sparkSession
     base = checkpointed(

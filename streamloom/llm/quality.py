@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, strip_white, words
+from .common import let, strip_white, words, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Rows at most on which a rule's cost and selectivity are estimated.  They
 #: decide the order of the rules only, never a verdict.
 SAMPLE_ROWS = 300
+#: Seconds below which timings on the sample are noise.
+NOISE = 0.03
 
 
 def _windows(w: Column) -> Column:
@@ -80,104 +84,112 @@ def word_chars(text: Column) -> Column:
     return F.char_length(strip_white(text)).cast("bigint")
 
 
-def word_counts(text: Column) -> Column:
-    """struct(n_words, n_repeat_words)."""
-    return let(
-        words(text),
-        lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeat_words(w).cast("bigint").alias("n_repeat_words")),
-    )
-
-
-def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("bigint")
-
-
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` maps a struct of the metrics to a boolean, ``direct`` a text."""
+    """``fails`` maps metrics by name to a boolean; it takes those it needs, so others aren't computed for it."""
 
     name: str
-    fails: object
-    direct: object
+    fails: Callable[[dict[str, Column]], Column]
 
 
 RULES = (
-    Rule("short", lambda m: m["n_words"] < 20, lambda t: n_words(t) < 20),
-    Rule("symbols", lambda m: m["n_symbols"] * 2 > m["n_words"], lambda t: symbol_count(t) * 2 > n_words(t)),
-    Rule("word_length", lambda m: m["word_chars"] > 40 * m["n_words"], lambda t: word_chars(t) > 40 * n_words(t)),
-    Rule(
-        "same_lines",
-        lambda m: m["n_dup_lines"] * 2 > m["n_lines"],
-        lambda t: let(line_counts(t), lambda x: x["n_dup_lines"] * 2 > x["n_lines"]),
-    ),
-    Rule(
-        "repeats",
-        lambda m: m["n_repeat_words"] * 100 > 30 * m["n_words"],
-        lambda t: let(word_counts(t), lambda x: x["n_repeat_words"] * 100 > 30 * x["n_words"]),
-    ),
+    Rule("short", lambda m: m["n_words"] < 20),
+    Rule("symbols", lambda m: m["n_symbols"] * 2 > m["n_words"]),
+    Rule("word_length", lambda m: m["word_chars"] > 40 * m["n_words"]),
+    Rule("same_lines", lambda m: let(m["lines"], lambda x: x["n_dup_lines"] * 2 > x["n_lines"])),
+    Rule("repeats", lambda m: m["n_repeat_words"] * 100 > 30 * m["n_words"]),
 )
-BASE = ("short", "repeats")
+
+
+def metrics(text: Column, w: Column) -> dict[str, Column]:
+    """The metrics of a text with the words ``w``, as expressions."""
+    return {
+        "n_words": F.size(w).cast("bigint"),
+        "word_chars": word_chars(text),
+        "n_symbols": symbol_count(text),
+        "lines": line_counts(text),
+        "n_repeat_words": repeat_words(w).cast("bigint"),
+    }
 
 
 def ordered_rules(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """``rules`` by rejections per second, both estimated on at most ``sample_rows`` rows.
 
-    The sample is drawn by seed and read partition after partition until it
-    is full.  With no row to estimate on, the given order stays.  A rule that
-    rejects nothing comes after those that do, cheapest first.
+    The sample is drawn by seed, read partition after partition until it is
+    full, and written to the shared folder.  A rule's cost is what it takes
+    over the words, which all rules share: the least of three runs after a
+    first one, in steps of a factor of two above what is noise, so that reruns
+    mostly agree.  With no row to estimate on, the given order stays.  A rule
+    that rejects nothing comes after those that do, cheapest first.
     """
-    rows = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("t")).sample(0.1, seed=7).limit(sample_rows).collect()
+    text = F.coalesce(docs[text_col], F.lit("")).alias("t")
+    sample = written(docs.select(text).sample(0.1, seed=7).limit(sample_rows).coalesce(1), "quality-sample")
+
+    def timed(fails: Callable[[dict[str, Column]], Column]) -> tuple[float, int, int]:
+        verdict = let(words(F.col("t")), lambda w: fails(metrics(F.col("t"), w)))
+        job = sample.select(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(verdict.cast("int")), F.lit(0)).alias("n"))
+        least = math.inf
+        for k in range(4):
+            began = time.perf_counter()
+            rows, n = job.collect()[0]
+            if k:
+                least = min(least, time.perf_counter() - began)
+        return least, n, rows
+
+    base, _, rows = timed(lambda m: m["n_words"] < 0)
     if not rows:
         return list(rules)
-    sample = docs.sparkSession.createDataFrame(rows, "t string").coalesce(1)
-
-    def timed(column: Column) -> tuple[float, int]:
-        began = time.perf_counter()
-        n = sample.select(F.sum(column.cast("int")).alias("n")).collect()[0]["n"] or 0
-        return time.perf_counter() - began, n
-
-    base = min(timed(F.col("t").isNull())[0] for _ in range(2))
     found = {}
     for r in rules:
-        cost, rejected = timed(r.direct(F.col("t")))
-        found[r.name] = (-rejected / max(cost - base, 1e-4), cost)
+        cost, rejected, _ = timed(r.fails)
+        step = max(round(math.log2(max(cost - base, NOISE) / NOISE)), 0)
+        found[r.name] = (-rejected / 2**step, step)
     return sorted(rules, key=lambda r: found[r.name])
 
 
-def cascade(rules: list[Rule], value: Column, by: str) -> Column:
+def cascade(rules: list[Rule], m: dict[str, Column]) -> Column:
     """True where a rule rejects; rules after the first that does are not run."""
     out = F.lit(False)
     for r in reversed(rules):
-        out = F.when(getattr(r, by)(value), F.lit(True)).otherwise(out)
+        out = F.when(r.fails(m), F.lit(True)).otherwise(out)
     return out
 
 
+def rejects(rules: list[Rule], text: Column) -> Column:
+    """The cascade over a text, whose words are split once for all rules."""
+    return let(text, lambda t: let(words(t), lambda w: cascade(rules, metrics(t, w))))
+
+
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs`` with its metrics, base verdict and verdict.
 
     A null text counts as empty: it has no word, fails and isn't kept.
     Repeated rows each get their row.  Other columns of ``docs`` are not read.
+    The metrics are part of the report, so each is computed once for every
+    row and the cascade runs over them; it saves work where only the verdict
+    is asked for, in :func:`drop_low_quality`.
     """
     rules = ordered_rules(docs, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     counted = docs.select(
         F.col(id_col).alias("doc_id"),
-        word_counts(text).alias("_w"),
-        line_counts(text).alias("_l"),
+        let(words(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeat_words(w).cast("bigint").alias("n_repeat_words"))).alias("_w"),
+        line_counts(text).alias("lines"),
         word_chars(text).alias("word_chars"),
         symbol_count(text).alias("n_symbols"),
     )
-    flat = counted.select("doc_id", "_w.n_words", "word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.n_lines")
+    flat = counted.select("doc_id", "_w.n_words", "word_chars", "n_symbols", "lines.n_dup_lines", "_w.n_repeat_words", "lines")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    metrics = {c: F.col(c) for c in flat.columns}
-    return flat.withColumns({"base_failed": failed, "kept": ~(failed | cascade(rules, metrics, "fails"))}).drop("n_lines")
+    m = {c: F.col(c) for c in flat.columns}
+    return flat.withColumns({"base_failed": failed, "kept": ~(failed | cascade(rules, m))}).drop("lines")
 
 
 def drop_low_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, columns unchanged.
 
     The rules run on each text in the estimated order and stop at the first
-    that rejects it.  Null and empty texts are rejected.
+    that rejects it.  Null and empty texts are rejected; repeated rows are
+    judged alike; a very long text is judged whole.
     """
     rules = ordered_rules(docs, text_col)
-    return docs.filter(~cascade(rules, F.coalesce(docs[text_col], F.lit("")), "direct"))
+    return docs.filter(~rejects(rules, F.coalesce(docs[text_col], F.lit(""))))

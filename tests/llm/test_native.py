@@ -116,7 +116,7 @@ def test_rule_order_changes_no_verdict(spark):
     text = F.coalesce("text", F.lit(""))
     results = set()
     for order in (quality.RULES, quality.RULES[::-1]):
-        results.add(tuple(sorted(r[0] for r in df.filter(~quality.cascade(list(order), text, "direct")).select("doc_id").collect())))
+        results.add(tuple(sorted(r[0] for r in df.filter(~quality.rejects(list(order), text)).select("doc_id").collect())))
     assert len(results) == 1
     assert {r.name for r in quality.ordered_rules(df)} == {r.name for r in quality.RULES}
 
@@ -180,6 +180,35 @@ def test_fit_comes_as_near_as_sums_do():
         assert sum(a * k for a, k in zip(lengths, take)) == brute_sum(lengths, counts, budget)
 
 
+def test_plan_comes_as_near_as_sums_do(monkeypatch):
+    rng = random.Random(6)
+    for table in (mixing.TABLE, 1):
+        monkeypatch.setattr(mixing, "TABLE", table)
+        for _ in range(200):
+            lengths = rng.sample(range(0, 12), rng.randrange(1, 7))
+            counts = [rng.randrange(0, 9) for _ in lengths]
+            size = sum(a * n for a, n in zip(lengths, counts))
+            target = rng.randrange(0, 2 * size + 1)
+            passes, take = mixing.plan_source(lengths, counts, target)
+            assert all(0 <= k <= n for k, n in zip(take, counts))
+            words = passes * size + sum(a * k for a, k in zip(lengths, take))
+            best = 0 if not size else target // size * size + brute_sum(lengths, counts, target % size)
+            assert words == best or table == 1 and best - max(lengths) <= words <= best
+    monkeypatch.setattr(mixing, "TABLE", 1 << 20)
+    assert mixing.plan_source([9, 7], [2, 3], 21) == (0, [0, 3])
+    assert mixing.plan_source([90_000, 70_000], [2, 3], 210_000) == (0, [0, 3])
+
+
+def test_plan_of_a_large_source():
+    lengths = list(range(1, 4000, 7))
+    counts = [1 + 60_000 // a for a in lengths]
+    size = sum(a * n for a, n in zip(lengths, counts))
+    target = size * 13 // 19
+    passes, take = mixing.plan_source(lengths, counts, target)
+    assert passes == 0 and all(0 <= k <= n for k, n in zip(take, counts))
+    assert sum(a * k for a, k in zip(lengths, take)) == target
+
+
 def test_targets():
     got = mixing.targets([("b", 100), (None, 50), ("a", 10), ("c", 100)])
     assert got["a"] == 20 and abs(sum(got.values()) - 1.5 * 260) < 1e-9
