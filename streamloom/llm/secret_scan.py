@@ -1,11 +1,12 @@
 """Secret scan: candidates by pattern, false positives out by a random forest.
 
 A candidate is a run of token characters that is long and mixed, has a known
-prefix, or is assigned to a name like ``token``.  The forest judges it by its
+form, or is assigned to a name like ``token``.  The forest judges it by its
 length, the character transitions in it, how much of it a dictionary covers,
-its document's path (here: source) and the words around it.  It is trained on
-the driver from labelled findings that ``labelled_findings`` makes by seed, as
-many as ``FINDINGS``.
+its document's path (here: source) and the words around it.  The dictionary
+and the transitions that are usual are counted in all documents.  The forest
+is trained on the driver from labelled findings that ``labelled_findings``
+makes by seed, as many as ``FINDINGS``, with words of the dictionary.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 import re
 import string
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import cache
 
 import numpy as np
@@ -29,6 +30,8 @@ TREES, DEPTH, LEAF = 25, 9, 4
 SEED = 42
 THRESHOLD = 0.5
 CONTEXT = 60
+#: Words of the dictionary: those that most documents have.
+DICTIONARY = 20_000
 
 _NAMED = re.compile(
     r"(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|bearer)"
@@ -54,22 +57,45 @@ _WORDS = set(
 )
 
 
-def _dictionary(text: str) -> float:
-    """Share of the letters that words of four letters or more, or known ones, make up."""
-    letters = re.findall("[A-Za-z][a-z]*|[A-Z]+", text)
-    n = sum(map(len, letters))
-    if not n:
-        return 0.0
-    good = 0
-    for w in letters:
-        low = w.lower()
-        vowels = sum(c in "aeiouy" for c in low)
-        if low in _WORDS or (len(low) >= 4 and 0.2 <= vowels / len(low) <= 0.65):
-            good += len(w)
-    return good / n
+class Language:
+    """A dictionary, and how usual each letter is after each other in it."""
 
+    def __init__(self, counts: dict[str, int]):
+        self.words = _WORDS | counts.keys()
+        self.vocabulary = sorted(self.words)
+        n = np.ones((26, 26))
+        for w in self.vocabulary:
+            for a, b in zip(w, w[1:]):
+                n[ord(a) - 97, ord(b) - 97] += counts.get(w, 1)
+        self.usual = np.log2(n / n.sum(1, keepdims=True)).tolist()
 
-def features(value: str, before: str, after: str, path: str, named: bool) -> list[float]:
+    def share(self, text: str) -> float:
+        """Share of the letters that words of the dictionary make up."""
+        runs = re.findall("[A-Za-z][a-z]*|[A-Z]+", text)
+        n = sum(map(len, runs))
+        return sum(len(w) for w in runs if w.lower() in self.words) / n if n else 0.0
+
+    def transitions(self, text: str) -> float:
+        """The mean log probability of letters after letters."""
+        low = text.lower()
+        pairs = [self.usual[ord(a) - 97][ord(b) - 97] for a, b in zip(low, low[1:]) if "a" <= a <= "z" and "a" <= b <= "z"]
+        return sum(pairs) / len(pairs) if pairs else math.log2(1 / 26)
+
+
+@cache
+def plain() -> Language:
+    """The words that need no corpus."""
+    return Language({})
+
+
+def language(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> Language:
+    """The ``size`` words of three letters or more that most documents have, of those with the same count the first."""
+    found = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z]+"))
+    counts = docs.select(F.explode(found).alias("w")).filter(F.length("w").between(3, 30)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return Language({r["w"]: r["n"] for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()})
+
+
+def features(value: str, before: str, after: str, path: str, named: bool, of: Language) -> list[float]:
     kind = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in value]
     n = len(value)
     share = [kind.count(k) / n for k in range(4)]
@@ -82,7 +108,7 @@ def features(value: str, before: str, after: str, path: str, named: bool) -> lis
     near = f"{before} {after}"
     return [
         n, *share, changes, between, repeats, steps, entropy, entropy / math.log2(n + 1), len(counts) / n,
-        _dictionary(value),
+        of.share(value), of.transitions(value),
         float(all(c in string.hexdigits for c in value)),
         float(bool(re.fullmatch("[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", value))),
         float(bool(_PREFIX.fullmatch(value)) or value.startswith("-----BEGIN")),
@@ -145,12 +171,14 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def labelled_findings(seed: int = SEED, n: int = FINDINGS) -> tuple[list[list[float]], list[int]]:
+def labelled_findings(
+    of: Language, seed: int = SEED, n: int = FINDINGS, real_kinds: Collection[int] = range(11), false_kinds: Collection[int] = range(12)
+) -> tuple[list[list[float]], list[int]]:
     """Findings with their labels, made by seed: keys in the forms they have, and what is taken for them."""
     rng = np.random.default_rng(seed)
     pick = lambda alphabet, k: "".join(rng.choice(list(alphabet), k))
     alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
-    words = sorted(_WORDS)
+    words = of.vocabulary
     word = lambda: str(rng.choice(words))
     b64 = lambda k: base64.b64encode(rng.bytes(k)).decode()
     size = lambda a, b: int(rng.integers(a, b + 1))
@@ -166,6 +194,7 @@ def labelled_findings(seed: int = SEED, n: int = FINDINGS) -> tuple[list[list[fl
         lambda: b64(size(18, 48)),
         lambda: pick(alnum, size(16, 48)),
         lambda: pick(alnum + "!@#$%^&*", size(10, 24)),
+        lambda: word().capitalize() + str(size(1950, 2030)) + pick("!@#$%&*", size(1, 2)) + pick(alnum, size(0, 3)),
     ]
     false = [
         lambda: f"your_{word()}_{word()}_here{size(0, 9)}",
@@ -178,6 +207,8 @@ def labelled_findings(seed: int = SEED, n: int = FINDINGS) -> tuple[list[list[fl
         lambda: "changeme" + str(size(0, 9999)),
         lambda: f"{size(1990, 2030)}-{size(10, 12)}-{size(10, 28)}T{size(10, 23)}-{size(10, 59)}-{size(10, 59)}Z",
         lambda: word() + "-" + word() + "-" + "".join(str(size(0, 9)) for _ in range(size(4, 12))),
+        lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 9) + "EXAMPLE",
+        lambda: str(rng.choice(["ghp_", "sk_live_", "xoxb-"])) + str(rng.choice(["x" * 36, "your_key_goes_here_" + word(), "example" + pick(alnum, 29), "0" * 36])),
     ]
     names = ["token", "secret", "password", "api_key", "access_key", "Authorization", "credential"]
     rows, labels = [], []
@@ -186,18 +217,18 @@ def labelled_findings(seed: int = SEED, n: int = FINDINGS) -> tuple[list[list[fl
         context = " ".join(word() for _ in range(size(0, 6)))
         path = str(rng.choice(["src1", "web", "crawl", "repo/app/main", "repo/config", "repo/tests/fixture", "docs/example"], p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.05]))
         named = rng.random() < (0.75 if good else 0.25)
-        kind = size(0, 9)
         if good:
             # bare random letters or hex digits are secrets only where a name says so
+            kind = int(rng.choice(list(real_kinds)))
             value, named = real[kind](), named or kind >= 6
         elif rng.random() < 0.35:
             # real-looking values that a digest's name explains
             value, named = str(rng.choice([pick(hexa, int(rng.choice([32, 40, 64]))), uuid(), b64(32)])), False
             context += " " + str(rng.choice(["commit", "sha256", "md5 checksum", "uuid", "etag", "integrity", "revision", ""]))
         else:
-            value = false[kind]()
+            value = false[int(rng.choice(list(false_kinds)))]()
         before = context + (f' {rng.choice(names)} {rng.choice(["=", ":"])} "' if named else " ")
-        rows.append(features(value, before, '" ' + word(), path, named))
+        rows.append(features(value, before, '" ' + word(), path, named, of))
         labels.append(int(good))
     return rows, labels
 
@@ -261,35 +292,57 @@ class Forest:
         return out / len(self.trees)
 
 
-@cache
-def forest(seed: int = SEED) -> Forest:
-    x, y = labelled_findings(seed)
+def forest(of: Language, seed: int = SEED, **kinds) -> Forest:
+    x, y = labelled_findings(of, seed, **kinds)
     return Forest(np.array(x), np.array(y), seed)
 
 
+def held_out_accuracy(of: Language, seed: int = SEED) -> dict[str, list[float]]:
+    """Of each kind of finding the share judged right by a forest that hasn't seen this kind."""
+    out: dict[str, list[float]] = {"real": [], "false": []}
+    for name, kinds, label in (("real_kinds", range(11), 1), ("false_kinds", range(12), 0)):
+        for k in kinds:
+            own = forest(of, seed, **{name: [x for x in kinds if x != k]})
+            x, y = labelled_findings(of, seed + 1, 600, **{name: [k]})
+            judged = own.predict(np.array(x)[np.array(y) == label]) >= THRESHOLD
+            out["real" if label else "false"].append(float((judged == label).mean()))
+    return out
+
+
 _FOUND = "doc_id long, n_candidates long, found array<struct<start:int,stop:int,score:double>>"
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_candidates and ``found``: start, stop (code points, end exclusive) and score of each secret.
+class Scanner:
+    """A dictionary with the forest trained for it."""
 
-    A row for each row of ``docs``; a null text has none and a null path is
-    empty.  Other columns are not read.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(forest())
+    def __init__(self, of: Language, threshold: float = THRESHOLD):
+        self.of, self.forest, self.threshold = of, forest(of), threshold
 
-    def scan(text: str, path: str) -> tuple[int, list[dict]]:
+    def scan(self, text: str, path: str) -> tuple[int, list[dict]]:
+        """How many candidates ``text`` has, and those that are secrets."""
         spots = candidates(text)
         if not spots:
             return 0, []
-        x = np.array([features(text[a:z], text[max(0, a - CONTEXT) : a], text[z : z + CONTEXT // 2], path, named) for a, z, named in spots])
-        score = np.round(shared.value.predict(x), 6)
-        return len(spots), [{"start": a, "stop": z, "score": s} for (a, z, _), s in zip(spots, score.tolist()) if s >= threshold]
+        x = np.array([features(text[a:z], text[max(0, a - CONTEXT) : a], text[z : z + CONTEXT // 2], path, named, self.of) for a, z, named in spots])
+        score = np.round(self.forest.predict(x), 6)
+        return len(spots), [{"start": a, "stop": z, "score": s} for (a, z, _), s in zip(spots, score.tolist()) if s >= self.threshold]
+
+
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_candidates and ``found``: start, stop (code points, end exclusive) and score of each secret.
+
+    A row for each row of ``docs``, repeated ones too; a null text has none
+    and a null path is empty.  Candidates that overlap count once (see
+    :func:`candidates`).  Texts are scanned whole, however long.  Other
+    columns are not read.  What is broadcast is the forest and ``DICTIONARY``
+    words.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner(language(docs, text_col), threshold))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
         for b in batches:
-            got = [scan(t.as_py(), p.as_py()) for t, p in zip(b.column(1), b.column(2))]
+            got = [shared.value.scan(t.as_py(), p.as_py()) for t, p in zip(b.column(1), b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([f for _, f in got], kind)], ["doc_id", "n_candidates", "found"])
 
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
