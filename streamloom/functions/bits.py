@@ -2,13 +2,16 @@
 
 A BIGINT holds the bit pattern of an unsigned number.  Multiplication and
 addition have to wrap, which ANSI mode refuses, so expressions with them are
-built, and their DataFrame resolved, inside :func:`wrapping`.
+built, and their DataFrame resolved, inside :func:`wrapping`.  It sets the
+session's ANSI mode meanwhile, one thread at a time; threads that build other
+plans should use a session of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from threading import RLock
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -22,15 +25,19 @@ FNV_OFFSET = 14695981039346656037
 FNV_PRIME = 1099511628211
 
 
+_ONE_AT_A_TIME = RLock()
+
+
 @contextmanager
 def wrapping(spark: SparkSession) -> Iterator[None]:
     """Arithmetic in DataFrames made within wraps, also when they run later."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
+    with _ONE_AT_A_TIME:
+        before = spark.conf.get("spark.sql.ansi.enabled")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 def signed(value: int) -> int:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.bits import fnv1a, mod_unsigned, wrapping
 
 
+#: A column that holds the key's hash already, as sources with keys made from numbers give it.
+HASH = "_key_hash"
+
+
 class UnkeyedRecord(ValueError):
     """A record without a key has no partition."""
 
@@ -26,12 +30,18 @@ def with_partition(df: DataFrame, partitions: int, name: str = "partition") -> D
 
 def exchange(df: DataFrame, partitions: int) -> DataFrame:
     """Each record in the partition with its number: placement that never changes between runs."""
+    if partitions == 1:
+        return df.drop(HASH).repartition(1)
     with wrapping(df.sparkSession):
+        if HASH in df.columns:
+            return df.repartitionById(partitions, mod_unsigned(F.col(HASH), partitions).cast("int")).drop(HASH)
         return df.repartitionById(partitions, partition_of(F.col("key"), partitions))
 
 
 def merge(frames: list[DataFrame]) -> DataFrame:
     """All records of all inputs; a record that comes twice is there twice."""
+    if not all(HASH in f.columns for f in frames):
+        frames = [f.drop(HASH) for f in frames]
     return reduce(DataFrame.unionByName, frames)
 
 

@@ -15,12 +15,17 @@ class Sink:
     def write_all(self, df: DataFrame) -> None:
         raise NotImplementedError
 
+    def write_batch(self, df: DataFrame, batch: int) -> None:
+        """A batch of a stream; after a failure the same batch comes again."""
+        self.write_all(df)
+
 
 class Collect(Sink):
     """Records in the driver's memory, for results that fit there."""
 
     def __init__(self):
         self._held: list[Record] = []
+        self._batches: set[int] = set()
         self._lock = threading.Lock()
 
     def write_all(self, df: DataFrame) -> None:
@@ -28,6 +33,11 @@ class Collect(Sink):
         with self._lock:
             self._held += [Record(bytes(r[0] or b""), bytes(r[1] or b""), r[2]) for r in rows]
 
+    def write_batch(self, df: DataFrame, batch: int) -> None:
+        if batch not in self._batches:
+            self.write_all(df)
+            self._batches.add(batch)
+
     def records(self) -> list[Record]:
         """A copy, which later writes don't change."""
         with self._lock:
@@ -42,12 +52,17 @@ class Discard(Sink):
 
 
 class Table(Sink):
+    """A Parquet folder; a batch of a stream owns the folder of its id in it, so each record is there once."""
+
     def __init__(self, path: str, mode: str = "errorifexists"):
         self.path, self.mode = path, mode
 
     def write_all(self, df: DataFrame) -> None:
         df.write.mode(self.mode).parquet(self.path)
 
+    def write_batch(self, df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
 
 class Writer:
     """A sink's contract for ``Each``: one instance a partition, closed on success and failure alike."""
@@ -61,6 +76,14 @@ class Writer:
 
 
 class Each(Sink):
+    """A writer for each partition.
+
+    A task that is tried again, or that runs twice by speculation, writes its
+    records again; a writer that needs each once has to tell tries apart, for
+    instance by ``TaskContext`` and a key of its own.  ``written`` counts the
+    tries that Spark kept.
+    """
+
     def __init__(self, factory: Callable[[], Writer]):
         self.factory = factory
         self.written = 0

@@ -3,16 +3,21 @@
 A vertex is a DataFrame over the union of what it reads.  An edge is nothing
 (``fused``, the default: Spark pipelines the vertices into one stage) or an
 exchange by the key's stable hash (``exact``: each record is where its key's
-hash says).  Operators that hold state by key get the exchange either way.
+hash says).  Operators that hold state by key get the exchange either way.  An
+edge whose records are there already, by an exchange before it to as many
+partitions, needs none.  A graph over streaming frames compiles in the same
+way; ``streaming.graphs`` runs it.
 """
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import COLUMNS, unkeyed
-from ..operators.partitioning import UnkeyedRecord, exchange, merge
+from ..operators.partitioning import HASH, UnkeyedRecord, exchange, merge
+from ..operators.transforms import Filter, Identity
 from ..sources.custom import source_records
 from ..sources.generator import Generator
 from .graph import Graph, Kind, Vertex
@@ -26,8 +31,11 @@ class Compiled:
             raise ValueError(f"mode is 'fused' or 'exact', not {mode!r}")
         self.spark, self.graph, self.mode = spark, graph, mode
         self.order = graph.topological()
-        self.watched: list[tuple[str, Observation]] = []
+        #: Vertex, metric and records of what may have no key.
+        self.watched: list[tuple[str, Observation | str, DataFrame]] = []
         self._made: dict[str, DataFrame] = {}
+        #: Vertices whose records are in the partition that their key's hash says, of how many.
+        self._placed: dict[str, int] = {}
         for v in self.order:
             self._made[v.id] = self._vertex(v)
 
@@ -41,47 +49,87 @@ class Compiled:
         if v.kind is Kind.SOURCE:
             out, keyed = self._source(v)
         else:
-            out = merge([self._made[u] for u in self.graph.upstream(v.id)])
-            keyed = True
-            if self.mode == "exact" or (v.kind is Kind.OPERATOR and v.operator.keyed):
-                out = exchange(out, v.parallelism)
+            out, keyed = self._fed(v), True
             if v.kind is Kind.OPERATOR:
-                out, keyed = v.operator.apply(out), not v.operator.changes_key
+                if HASH in out.columns and not isinstance(v.operator, (Identity, Filter)):
+                    out = out.drop(HASH)
+                stateful = out.isStreaming and v.operator.keyed
+                out = v.operator.apply_stream(out, v.parallelism) if stateful else v.operator.apply(out)
+                keyed = not v.operator.changes_key
+                if not keyed:
+                    self._placed.pop(v.id, None)
+            else:
+                out = out.drop(HASH)
         if v.kind is Kind.SINK or keyed:
             return out
         # A filter further down may be pushed below a check in an expression,
         # but not below a metric.
-        seen = Observation(f"{v.id}-{len(self.watched)}")
-        self.watched.append((v.id, seen))
-        return out.observe(seen, F.count_if(unkeyed()).alias("unkeyed"), F.count(F.lit(1)).alias("records"))
+        name = f"{v.id}-{len(self.watched)}"
+        counts = F.count_if(unkeyed()).alias("unkeyed"), F.count(F.lit(1)).alias("records")
+        if out.isStreaming:
+            self.watched.append((v.id, name, out))
+            return out.observe(name, *counts)
+        seen = Observation(name)
+        self.watched.append((v.id, seen, out))
+        return out.observe(seen, *counts)
+
+    def _fed(self, v: Vertex) -> DataFrame:
+        """What a vertex reads, exchanged where it has to be and isn't yet."""
+        above = self.graph.upstream(v.id)
+        out = merge([self._made[u] for u in above])
+        placed = self._placed.get(above[0]) if len(above) == 1 else None
+        stateful = v.kind is Kind.OPERATOR and v.operator.keyed
+        # a stream's operator with state groups by itself
+        if (self.mode == "exact" or stateful) and placed != v.parallelism and not (out.isStreaming and stateful):
+            out, placed = exchange(out, v.parallelism), v.parallelism
+        if placed is not None:
+            self._placed[v.id] = placed
+        return out
 
     def _source(self, v: Vertex) -> tuple[DataFrame, bool]:
         made = v.source() if callable(v.source) else v.source
         if isinstance(made, Generator):
-            return made.dataframe(self.spark, v.parallelism), True
+            if v.parallelism == 1:
+                self._placed[v.id] = 1
+            hashed = self.mode == "exact" and v.parallelism > 1
+            return made.dataframe(self.spark, v.parallelism, hashed=hashed), True
         if isinstance(made, DataFrame):
             return made.select(*COLUMNS), False
+        if v.parallelism == 1:
+            self._placed[v.id] = 1
         return source_records(self.spark, v.source, v.parallelism, v.id), False
 
 
 def run(spark: SparkSession, graph: Graph, mode: str = "fused") -> None:
     """Runs each sink of ``graph``.
 
-    Each sink is one Spark action with a plan of its own.  A record without a
-    key that leaves a vertex fails the run, also where a later operator would
-    have dropped it; what a sink has written by then stays.
+    Each sink is one Spark action with a plan of its own, so what two sinks
+    read is made twice.  Generators and operators without state are cheaper to
+    run again than to keep; frames that aren't can be persisted and given as a
+    source.  A record without a key that leaves a vertex fails the run, also
+    where a later operator would have dropped it; what a sink has written by
+    then stays.
     """
     graph.validate()
     for sink in [v for v in graph.topological() if v.kind is Kind.SINK]:
-        plan = Compiled(spark, _reaching(graph, sink.id), mode)
+        plan = Compiled(spark, reaching(graph, sink.id), mode)
         sink_instance = sink.sink() if isinstance(sink.sink, type) else sink.sink
         sink_instance.write_all(plan.frame(sink.id))
-        for id, seen in plan.watched:
-            if seen.get["unkeyed"]:
-                raise UnkeyedRecord(f"vertex {id!r}: {seen.get['unkeyed']} records have no key: an unkeyed record has no partition")
+        for id, seen, records in plan.watched:
+            n = _unkeyed(seen, records)
+            if n:
+                raise UnkeyedRecord(f"vertex {id!r}: {n} records have no key: an unkeyed record has no partition")
 
 
-def _reaching(graph: Graph, sink: str) -> Graph:
+def _unkeyed(seen: Observation, records: DataFrame) -> int:
+    try:
+        return seen.get["unkeyed"]
+    except Py4JJavaError:
+        # a plan that is empty by its form runs without its metrics
+        return records.filter(unkeyed()).count()
+
+
+def reaching(graph: Graph, sink: str) -> Graph:
     """The part of ``graph`` that ``sink`` reads from."""
     need, todo = {sink}, [sink]
     while todo:

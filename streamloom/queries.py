@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from contextlib import suppress
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.bits import GAMMA, MIX_A, MIX_B, big_endian, fnv1a_of_long, mod_unsigned, wrapping
-from .functions.records import event_records, millis, printable
-from .operators.partitioning import partition_counts, with_partition
-from .operators.transforms import Filter, FlatMap, Identity, Map
-from .plans.compiler import Compiled
+from .functions.records import COLUMNS, Record, event_records, millis, printable
+from .operators.partitioning import UnkeyedRecord, partition_counts, with_partition
+from .operators.sinks import Discard, Each, Table, Writer
+from .operators.transforms import Custom, Filter, FlatMap, Identity, Map, Operator
+from .plans.compiler import Compiled, run
 from .plans.graph import Graph
+from .session import shared_folder
+from .sources.custom import Source
 from .sources.generator import Generator, GeneratorConfig, slice_of
-from .streaming.event_time import keyed_counts, late, running_watermark, tumbling_counts
+from .sources.stream import generator_stream
+from .streaming.event_time import keyed_counts, late, merged_watermark, running_watermark, tumbling_counts
+from .streaming.graphs import run_stream
+from .streaming.sinks import run_available, run_by_batch
 
 #: The records that the worker and the benchmark make.
 WORKER = GeneratorConfig(seed=1, count=20_000, key_cardinality=1000, base_event_time=1704067200000, event_time_step=1, max_lag=500, value_size=16)
+#: The records that streams make.
+STREAM = GeneratorConfig(seed=3, count=6000, key_cardinality=40, base_event_time=1704067200000, event_time_step=5, max_lag=500, value_size=16)
 DAY = 86_400_000
 PARTITIONS = 8
+#: Length of the windows that a stream's operator closes.
+SECOND = 1000
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,17 +43,25 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_records(_events(spark, sf_dir))
 
 
-def _job(spark: SparkSession, graph: Graph) -> DataFrame:
-    plan = Compiled(spark, graph)
+def _job(spark: SparkSession, graph: Graph, mode: str = "fused") -> DataFrame:
+    plan = Compiled(spark, graph, mode)
     return plan.frame(plan.sinks()[0].id)
 
 
-def _chain(spark: SparkSession, source: DataFrame, *operators) -> DataFrame:
-    g = Graph().source("in", source)
+def _graph(source, *operators, sink=None, p: int = 1) -> Graph:
+    g = Graph().source("in", source, p)
     for k, op in enumerate(operators):
-        g.operator(f"op{k}", op)
-    g.sink("out", object())
-    return _job(spark, g.connect("in", *(f"op{k}" for k in range(len(operators))), "out"))
+        g.operator(f"op{k}", op, p)
+    g.sink("out", sink or Discard(), p)
+    return g.connect("in", *(f"op{k}" for k in range(len(operators))), "out")
+
+
+def _chain(spark: SparkSession, source: DataFrame, *operators) -> DataFrame:
+    return _job(spark, _graph(source, *operators))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def identity_events(spark, sf_dir):
@@ -155,11 +176,160 @@ def keyed_count(spark, sf_dir):
     return out.select(F.lower(F.hex("key")).alias("key"), "records", "value_bytes")
 
 
+class KeyedSum(Operator):
+    """Adds up the values of each key, and gives the sums at the end."""
+
+    def open(self):
+        self.sums = {}
+
+    def process(self, record):
+        total, last = self.sums.get(record.key, (0, record.event_time))
+        self.sums[record.key] = total + int(record.value), max(last, record.event_time)
+        return ()
+
+    def end_of_stream(self):
+        return [Record(k, str(total).encode(), last) for k, (total, last) in self.sums.items()]
+
+
+class RunningCount(Operator):
+    """Each record with how many its key has had so far as its value."""
+
+    def open(self):
+        self.counts = {}
+
+    def process(self, record):
+        n = self.counts[record.key] = self.counts.get(record.key, 0) + 1
+        return [record._replace(value=str(n).encode())]
+
+
+class WindowCount(Operator):
+    """The records of each key in each window of a second, once the watermark has passed its end."""
+
+    def open(self):
+        self.windows = {}
+
+    def process(self, record):
+        at = record.key, record.event_time // SECOND * SECOND
+        self.windows[at] = self.windows.get(at, 0) + 1
+        return ()
+
+    def process_watermark(self, watermark):
+        closed = [at for at in self.windows if at[1] + SECOND <= watermark]
+        return [Record(key, str(self.windows.pop((key, start))).encode(), start) for key, start in closed]
+
+
+class Squares(Source):
+    """n with its square, for n below 5,000."""
+
+    def __init__(self):
+        self.at = 0
+
+    def count(self):
+        return 5000
+
+    def next(self):
+        if self.at >= self.count():
+            return None
+        self.at += 1
+        n = self.at - 1
+        return Record((n % 100).to_bytes(8, "big"), str(n * n).encode(), n)
+
+    def seek_to(self, offset):
+        self.at = offset
+
+    def position(self):
+        return self.at
+
+
+class NullWriter(Writer):
+    def write(self, record):
+        pass
+
+
 def keyed_sum_flush(spark, sf_dir):
     e = _events(spark, sf_dir)
-    return e.groupBy(F.lower(F.hex(big_endian(F.col("user_id")))).alias("key")).agg(
-        F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"), F.max(millis(F.col("ts"))).alias("last_event_time")
-    )
+    cents = F.round(F.col("value") * 100).cast("bigint").cast("string").cast("binary")
+    r = e.select(big_endian(F.col("user_id")).alias("key"), cents.alias("value"), millis(F.col("ts")).alias("event_time"))
+    out = _job(spark, _graph(r, Custom(KeyedSum), p=PARTITIONS))
+    return printable(out).select("key", F.col("value").cast("bigint").alias("cents"), F.col("event_time").alias("last_event_time"))
+
+
+def exchange_placement(spark, sf_dir):
+    out = _job(spark, _graph(_records(spark, sf_dir), Identity(), p=PARTITIONS), "exact")
+    return printable(out.withColumn("partition", F.spark_partition_id()), "partition")
+
+
+def custom_source(spark, sf_dir):
+    return printable(_job(spark, _graph(Squares, Identity(), p=4)))
+
+
+def table_sink(spark, sf_dir):
+    path = _folder(spark, "table-sink")
+    run(spark, _graph(_records(spark, sf_dir), Filter(F.col("event_time") % 2 == 0), sink=Table(path)))
+    return printable(spark.read.parquet(path))
+
+
+def each_sink(spark, sf_dir):
+    sink = Each(NullWriter)
+    run(spark, _graph(_records(spark, sf_dir), sink=sink, p=4))
+    return spark.createDataFrame([(sink.written,)], "written long")
+
+
+def unkeyed_rejected(spark, sf_dir):
+    bad = _records(spark, sf_dir).withColumn("key", F.when(F.col("event_time") % 10 != 0, F.col("key")))
+    rejected = False
+    try:
+        run(spark, _graph(bad, Filter(F.lit(False))))
+    except UnkeyedRecord:
+        rejected = True
+    return spark.createDataFrame([(rejected,)], "rejected boolean")
+
+
+def _failing_then_whole(spark, write: Callable[[DataFrame], None]) -> None:
+    """A stream that fails in its second batch, and another that goes on."""
+    with suppress(StreamingQueryException):
+        write(generator_stream(spark, STREAM, 2000, 2, fail_at=3500))
+    write(generator_stream(spark, STREAM, 2000, 2))
+
+
+def stream_resume(spark, sf_dir):
+    path, mark = _folder(spark, "stream"), _folder(spark, "mark")
+    _failing_then_whole(spark, lambda s: run_available(s, path, mark))
+    return _hexed(spark.read.parquet(path), "offset")
+
+
+def stream_exactly_once(spark, sf_dir):
+    path, mark = _folder(spark, "stream"), _folder(spark, "mark")
+    _failing_then_whole(spark, lambda s: run_by_batch(s, path, mark))
+    return _hexed(spark.read.parquet(path), "offset")
+
+
+def stream_graph(spark, sf_dir):
+    path, mark = _folder(spark, "stream"), _folder(spark, "mark")
+    even, odd = Filter(F.col("event_time") % 2 == 0), Map(keep=F.col("event_time") % 2 == 1, event_time=-F.col("event_time"))
+    g = Graph().source("in", generator_stream(spark, STREAM, 2000, 2)).operator("even", even).operator("odd", odd).sink("out", Table(path))
+    run_stream(spark, g.connect("in", "even", "out").connect("in", "odd", "out"), mark)
+    return _hexed(spark.read.parquet(path).select(*COLUMNS))
+
+
+def stream_keyed_state(spark, sf_dir):
+    path, mark = _folder(spark, "stream"), _folder(spark, "mark")
+    _failing_then_whole(spark, lambda s: run_stream(spark, _graph(s, Custom(RunningCount), sink=Table(path), p=4), mark))
+    out = spark.read.parquet(path)
+    return out.groupBy(F.lower(F.hex("key")).alias("key")).agg(F.max(F.col("value").cast("string").cast("bigint")).alias("last_count"), F.count_distinct("value").alias("counts"))
+
+
+def stream_windows(spark, sf_dir):
+    path, mark = _folder(spark, "stream"), _folder(spark, "mark")
+    run_stream(spark, _graph(generator_stream(spark, STREAM, 2000, 2), Custom(WindowCount, lag=STREAM.max_lag), sink=Table(path), p=4), mark)
+    out = spark.read.parquet(path)
+    return out.select(F.lower(F.hex("key")).alias("key"), F.col("event_time").alias("window_start"), F.col("value").cast("string").cast("bigint").alias("records"))
+
+
+def merged_inputs_watermark(spark, sf_dir):
+    r = _events(spark, sf_dir).select("event_id", millis(F.col("ts")).alias("event_time"))
+    out = merged_watermark(r, F.col("event_id"), 500, (F.col("event_id") % 3).cast("int"), 3)
+    return out.select("event_id", "watermark")
 
 
 def watermark_running(spark, sf_dir):
@@ -251,7 +421,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         identity_events, filter_event_time_mod3, filter_drop_all, map_uppercase_value, map_drop_null, map_rekey, flat_map,
         generator_rows, generator_seek, generator_key_cardinality, generator_lag_bound, source_ranges, source_partition_rows,
         fnv_partition_assignment, partition_record_counts, fan_out_union, fan_out_branches, multi_input_merge, diamond_counts,
-        keyed_count, keyed_sum_flush, watermark_running, tumbling_count, tumbling_count_negative, late_by_watermark,
+        keyed_count, keyed_sum_flush, watermark_running, merged_inputs_watermark, tumbling_count, tumbling_count_negative,
+        late_by_watermark, exchange_placement, custom_source, table_sink, each_sink, unkeyed_rejected, stream_resume,
+        stream_exactly_once, stream_graph, stream_keyed_state, stream_windows,
     )
 }
 
@@ -289,6 +461,26 @@ select * from ({_generator_sql(GeneratorConfig(**{**WORKER.__dict__, 'seed': 2})
     "keyed_sum_flush": f"select {_EVENT} as key, sum(round(value * 100)::bigint)::bigint as cents, max({_MS}) as last_event_time from events group by 1",
     "watermark_running": f"""
 select event_id, {_MS} as event_time, max({_MS}) over (order by event_id rows unbounded preceding) - 500 as watermark from events""",
+    "merged_inputs_watermark": f"""
+select event_id, case when a is null or b is null or c is null then (-9223372036854775808)::bigint else least(a, b, c) - 500 end as watermark
+from (select event_id, {", ".join(f"max(case when event_id % 3 = {k} then {_MS} end) over (order by event_id rows unbounded preceding) as {n}" for k, n in enumerate("abc"))} from events)""",
+    "exchange_placement": f"""
+with {_fnv_ctes()}
+select {_EVENT} as key, props as value, {_MS} as event_time, (h % {PARTITIONS})::int as partition
+from events join f8 using (event_id, user_id)""",
+    "custom_source": "select lpad(lower(hex(n % 100)), 16, '0') as key, (n * n)::varchar as value, n as event_time from range(5000) r(n)",
+    "table_sink": f"{_BASE} where ({_MS}) % 2 = 0",
+    "each_sink": "select count(*) as written from events",
+    "unkeyed_rejected": f"select count(*) > 0 as rejected from events where ({_MS}) % 10 = 0",
+    "stream_resume": _generator_sql(STREAM, "select * from g"),
+    "stream_exactly_once": _generator_sql(STREAM, "select * from g"),
+    "stream_graph": _generator_sql(STREAM, "select key, value, case when event_time % 2 = 0 then event_time else -event_time end as event_time from g"),
+    "stream_keyed_state": _generator_sql(STREAM, "select key, count(*) as last_count, count(*) as counts from g group by key"),
+    "stream_windows": _generator_sql(
+        STREAM,
+        f"""select key, event_time // {SECOND} * {SECOND} as window_start, count(*) as records from g
+group by 1, 2 having any_value(event_time // {SECOND} * {SECOND}) + {SECOND} <= (select max(event_time) from g) - {STREAM.max_lag}""",
+    ),
     "tumbling_count": f"select key, event_time // {DAY} * {DAY} as window_start, count(*) as records from ({_BASE}) group by 1, 2",
     "tumbling_count_negative": f"""
 select (floor((event_time - 1705000000000) / {DAY}.0) * {DAY})::bigint as window_start, count(*) as records from ({_BASE}) group by 1""",

@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bits import GAMMA, MASK, MIX_A, MIX_B, big_endian, mix, mod_unsigned, wrapping
+from ..functions.bits import GAMMA, MASK, MIX_A, MIX_B, big_endian, fnv1a_of_long, mix, mod_unsigned, wrapping
 from ..functions.records import Record
+from ..operators.partitioning import HASH
 
 # What the seed is XORed with for each field.
 KEY_SALT, VALUE_SALT, TIME_SALT = 1, 2, 3
@@ -70,16 +71,17 @@ def value_bytes(c: GeneratorConfig, base: Column) -> Column:
     return F.substring(F.concat(*words), 1, c.value_size) if words else F.lit(b"")
 
 
-def with_records(spark: SparkSession, offsets: DataFrame, c: GeneratorConfig, offset: str = "offset") -> DataFrame:
-    """key, value, event_time and the offset for a frame of offsets, batch or streaming."""
+def with_records(spark: SparkSession, offsets: DataFrame, c: GeneratorConfig, offset: str = "offset", hashed: bool = False) -> DataFrame:
+    """key, value, event_time and the offset for a frame of offsets, batch or streaming; with ``hashed`` the key's hash too."""
     with wrapping(spark):
         n = F.col(offset)
-        based = offsets.withColumn("_base", mix(c.seed ^ VALUE_SALT, n))
+        based = offsets.withColumns({"_base": mix(c.seed ^ VALUE_SALT, n), "_key": key_number(c, n)})
         return based.select(
-            big_endian(key_number(c, n)).alias("key"),
+            big_endian(F.col("_key")).alias("key"),
             value_bytes(c, F.col("_base")).alias("value"),
             event_time(c, n).alias("event_time"),
             n.alias("offset"),
+            *([fnv1a_of_long(F.col("_key")).alias(HASH)] if hashed else []),
         )
 
 
@@ -113,12 +115,12 @@ class Generator:
     def close(self) -> None:
         pass
 
-    def dataframe(self, spark: SparkSession, parallelism: int | None = None, offset: int = 0, with_offset: bool = False) -> DataFrame:
+    def dataframe(self, spark: SparkSession, parallelism: int | None = None, offset: int = 0, with_offset: bool = False, hashed: bool = False) -> DataFrame:
         """The records from ``offset`` on; partition i holds slice i of them."""
         self.config.check()
         if offset < 0:
             raise ValueError(f"generator: cannot seek to {offset}")
         start = min(offset, self.config.count)
         ids = spark.range(start, self.config.count, 1, parallelism).withColumnRenamed("id", "offset")
-        out = with_records(spark, ids, self.config)
+        out = with_records(spark, ids, self.config, hashed=hashed)
         return out if with_offset else out.drop("offset")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import asdict, fields
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from .generator import GeneratorConfig, slice_of, with_records
 
 NAME = "streamloom_generator"
+#: Offsets that are handed to Spark at a time.
+BATCH = 1 << 16
 
 
 class _Slice(InputPartition):
@@ -40,11 +43,11 @@ class _Reader(DataSourceStreamReader):
         cuts = [slice_of(n, self.readers, i) for i in range(self.readers)]
         return [_Slice(start["offset"] + a, start["offset"] + b) for a, b in cuts]
 
-    def read(self, partition: _Slice) -> Iterator[tuple[int]]:
-        for n in range(partition.start, partition.end):
-            if n == self.fail_at:
-                raise RuntimeError(f"injected failure at offset {n}")
-            yield (n,)
+    def read(self, partition: _Slice) -> Iterator[pa.RecordBatch]:
+        if partition.start <= self.fail_at < partition.end:
+            raise RuntimeError(f"injected failure at offset {self.fail_at}")
+        for at in range(partition.start, partition.end, BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, min(at + BATCH, partition.end)), pa.int64())], ["offset"])
 
     def commit(self, end: dict) -> None:
         pass

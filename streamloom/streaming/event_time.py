@@ -20,21 +20,43 @@ def tumbling_counts(df: DataFrame, size: int) -> DataFrame:
     return df.groupBy("key", window_start(F.col("event_time"), size).alias("window_start")).agg(F.count(F.lit(1)).alias("records"))
 
 
-def running_watermark(df: DataFrame, order: Column, lag: int, width: int = 1 << 16) -> DataFrame:
-    """``watermark`` after each row: the largest event time so far less ``lag``.
+def _running_max(df: DataFrame, values: list[str], order: Column, width: int) -> DataFrame:
+    """``values`` as their maxima so far, in the order of the integer ``order`` over the whole table.
 
-    ``order`` is an integer, such as an offset.  The order is over the whole
-    table, but no task gets all of it: each range of ``width`` numbers is
-    scanned on its own, and what the ranges before reached is joined to it.
+    No task gets all of it: ranges of ``width`` numbers are scanned on their
+    own, then ranges of ranges, and what came before each is joined to it.
     """
+    upto = Window.unboundedPreceding
     ranged = df.withColumn("_order", order.cast("bigint")).withColumn("_part", F.floor(F.col("_order") / width))
-    within = Window.partitionBy("_part").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
-    scanned = ranged.withColumn("_so_far", F.max("event_time").over(within))
-    # one row a range goes through one task: a 65,536th of the table
-    tops = ranged.groupBy("_part").agg(F.max("event_time").alias("_top"))
-    before = tops.select("_part", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    joined = scanned.join(before, "_part")
-    return joined.withColumn("watermark", F.greatest("_so_far", "_before") - lag).drop("_order", "_part", "_so_far", "_before")
+    within = Window.partitionBy("_part").orderBy("_order").rowsBetween(upto, 0)
+    tops = ranged.groupBy("_part").agg(*[F.max(v).alias(v) for v in values]).withColumn("_block", F.floor(F.col("_part") / width))
+    # one row for 65,536 ranges goes through one task
+    blocks = tops.groupBy("_block").agg(*[F.max(v).alias(v) for v in values])
+    above = blocks.select("_block", *[F.max(v).over(Window.orderBy("_block").rowsBetween(upto, -1)).alias(f"_above_{v}") for v in values])
+    own = Window.partitionBy("_block").orderBy("_part").rowsBetween(upto, -1)
+    held = tops.join(above, "_block").select("_part", *[F.greatest(F.max(v).over(own), f"_above_{v}").alias(f"_before_{v}") for v in values])
+    scanned = ranged.withColumns({f"_so_far_{v}": F.max(v).over(within) for v in values}).join(held, "_part")
+    out = scanned.withColumns({v: F.greatest(f"_so_far_{v}", f"_before_{v}") for v in values})
+    return out.drop("_order", "_part", *[f"_so_far_{v}" for v in values], *[f"_before_{v}" for v in values])
+
+
+def running_watermark(df: DataFrame, order: Column, lag: int, width: int = 1 << 16) -> DataFrame:
+    """``watermark`` after each row: the largest event time so far less ``lag``; ``order`` is an integer, such as an offset."""
+    return _running_max(df.withColumn("watermark", F.col("event_time") - lag), ["watermark"], order, width)
+
+
+def merged_watermark(df: DataFrame, order: Column, lag: int, source: Column, sources: int, width: int = 1 << 16) -> DataFrame:
+    """``watermark`` after each row of a merge: the least of the watermarks of its inputs.
+
+    ``source`` numbers the input of each row from 0.  Until each input has had
+    a row the watermark is the least BIGINT.
+    """
+    names = [f"_of_{k}" for k in range(sources)]
+    own = {x: F.when(source == k, F.col("event_time") - lag) for k, x in enumerate(names)}
+    out = _running_max(df.withColumns(own), names, order, width)
+    every = F.coalesce(*[F.when(F.col(x).isNull(), F.lit(True)) for x in names], F.lit(False))
+    least = F.least(*names) if sources > 1 else F.col(names[0])
+    return out.withColumn("watermark", F.when(~every, least).otherwise(F.lit(-(2**63)).cast("bigint"))).drop(*names)
 
 
 def late(df: DataFrame, order: Column, lag: int) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 
-def _to_the_end(writer: DataStreamWriter) -> None:
+def to_the_end(writer: DataStreamWriter) -> StreamingQuery:
     """Runs batch after batch until the source has no more.
 
     A source that limits its batches itself would run just one with
@@ -17,6 +17,7 @@ def _to_the_end(writer: DataStreamWriter) -> None:
         query.processAllAvailable()
     finally:
         query.stop()
+    return query
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -25,7 +26,7 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     The file sink's log names the files of each batch, so a batch that is
     written again after a failure replaces its first try.
     """
-    _to_the_end(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode))
+    to_the_end(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode))
 
 
 def run_by_batch(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -34,7 +35,7 @@ def run_by_batch(stream: DataFrame, path: str, checkpoint: str) -> None:
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    _to_the_end(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
+    to_the_end(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
 
 
 def run_complete(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
@@ -42,5 +43,5 @@ def run_complete(stream: DataFrame, name: str, checkpoint: str | None = None) ->
     writer = stream.writeStream.format("memory").queryName(name).outputMode("complete")
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
-    _to_the_end(writer)
+    to_the_end(writer)
     return stream.sparkSession.table(name)

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from streamloom.operators.sinks import Collect, Discard, Each, Table, Writer
 from streamloom.operators.transforms import Custom, Filter, FlatMap, Identity, Map, Operator
-from streamloom.operators.partitioning import UnkeyedRecord
+from streamloom.functions.bits import wrapping
+from streamloom.operators.partitioning import UnkeyedRecord, partition_of
 from streamloom.functions.records import Record
 from streamloom.plans.compiler import Compiled, run
 from streamloom.plans.graph import Fault, Graph, GraphError, Kind, Vertex
@@ -222,7 +223,26 @@ def test_sinks(spark, tmp_path):
 
 
 def test_fused_plans_have_no_exchange(spark):
-    plan = lambda mode: Compiled(spark, chain(Discard(), Identity(), p=4), mode).frame("out")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan("fused") and plan("exact").count("Exchange") >= 1
+    plan = lambda mode, p=4, ops=(Identity(),): Compiled(spark, chain(Discard(), *ops, p=p), mode).frame("out")._jdf.queryExecution().executedPlan().toString()
+    # records stay where the first exchange has put them
+    assert "Exchange" not in plan("fused") and plan("exact").count("Exchange") == 1
+    assert plan("exact", ops=(Identity(), Filter(F.col("event_time") > 0))).count("Exchange") == 1
+    assert plan("exact", ops=(Map(key=F.col("value")),)).count("Exchange") == 2
+    assert "Exchange" not in plan("exact", p=1)
     with pytest.raises(ValueError):
         Compiled(spark, chain(Discard()), "other")
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_exact_placement(spark, case):
+    ops = [
+        (Identity(),),
+        (Identity(), Filter(F.col("event_time") % 2 == 0)),
+        (Map(key=F.col("value")), Identity()),
+        (Map(event_time=F.col("event_time") + 1),),
+    ][case]
+    frame = Compiled(spark, chain(Discard(), *ops, p=8), "exact").frame("out")
+    assert frame.columns == ["key", "value", "event_time"]
+    with wrapping(spark):
+        got = frame.select(F.spark_partition_id().alias("at"), partition_of(F.col("key"), 8).alias("want"))
+        assert got.filter("at != want").count() == 0 and frame.count() > 0
