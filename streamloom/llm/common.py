@@ -107,7 +107,7 @@ def delete(df: DataFrame) -> None:
     """Removes the table that :func:`written` made; nothing may read it any more."""
     jvm = df.sparkSession.sparkContext._jvm
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
+        where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
