@@ -81,12 +81,24 @@ def fnv1a_of_long(n: Column) -> Column:
     return h
 
 
-def fnv1a(key: Column) -> Column:
-    """FNV-1a of a BINARY of any length; the 8-byte case stays out of loops."""
+def long_of(key: Column) -> Column:
+    """The number whose 8 big-endian bytes a BINARY is; of another length nothing of use."""
+    code = F.hex(key)
+    hi = F.conv(F.substring(code, 1, 8), 16, 10).cast("bigint")
+    lo = F.conv(F.substring(code, 9, 8), 16, 10).cast("bigint")
+    return F.shiftleft(hi, 32).bitwiseOR(lo)
+
+
+def fnv1a(key: Column, number: Column | None = None) -> Column:
+    """FNV-1a of a BINARY of any length; the 8-byte case stays out of loops.
+
+    ``number`` is a column with :func:`long_of` the key.  Within a condition an
+    expression is computed wherever it stands, so without such a column the
+    number goes through a lambda variable, which costs more.
+    """
     code = F.hex(key)
     at = F.when(F.octet_length(key) > 0, F.sequence(F.lit(1), 2 * F.octet_length(key), F.lit(2))).otherwise(F.array().cast("array<int>"))
     byte = lambda i: F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("bigint")
     loop = F.aggregate(at, u64(FNV_OFFSET), lambda h, i: _eat(h, byte(i)))
-    hi = F.conv(F.substring(code, 1, 8), 16, 10).cast("bigint")
-    lo = F.conv(F.substring(code, 9, 8), 16, 10).cast("bigint")
-    return F.when(F.octet_length(key) == 8, fnv1a_of_long(F.shiftleft(hi, 32).bitwiseOR(lo))).otherwise(loop)
+    short = fnv1a_of_long(number) if number is not None else F.transform(F.array(long_of(key)), fnv1a_of_long)[0]
+    return F.when(F.octet_length(key) == 8, short).otherwise(loop)

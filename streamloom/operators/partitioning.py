@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bits import fnv1a, mod_unsigned, wrapping
+from ..functions.bits import fnv1a, long_of, mod_unsigned, wrapping
 
 
 #: A column that holds the key's hash already, as sources with keys made from numbers give it.
@@ -23,9 +23,18 @@ def partition_of(key: Column, partitions: int) -> Column:
     return mod_unsigned(fnv1a(key), partitions).cast("int")
 
 
+def with_hash(df: DataFrame) -> DataFrame:
+    """``df`` with the key's hash; in two steps, so that the key is decoded once."""
+    if HASH in df.columns:
+        return df
+    with wrapping(df.sparkSession):
+        numbered = df.withColumn("_key_number", long_of(F.col("key")))
+        return numbered.withColumn(HASH, fnv1a(F.col("key"), F.col("_key_number"))).drop("_key_number")
+
+
 def with_partition(df: DataFrame, partitions: int, name: str = "partition") -> DataFrame:
     with wrapping(df.sparkSession):
-        return df.withColumn(name, partition_of(F.col("key"), partitions))
+        return with_hash(df).withColumn(name, mod_unsigned(F.col(HASH), partitions).cast("int")).drop(HASH)
 
 
 def exchange(df: DataFrame, partitions: int) -> DataFrame:
@@ -33,9 +42,7 @@ def exchange(df: DataFrame, partitions: int) -> DataFrame:
     if partitions == 1:
         return df.drop(HASH).repartition(1)
     with wrapping(df.sparkSession):
-        if HASH in df.columns:
-            return df.repartitionById(partitions, mod_unsigned(F.col(HASH), partitions).cast("int")).drop(HASH)
-        return df.repartitionById(partitions, partition_of(F.col("key"), partitions))
+        return with_hash(df).repartitionById(partitions, mod_unsigned(F.col(HASH), partitions).cast("int")).drop(HASH)
 
 
 def merge(frames: list[DataFrame]) -> DataFrame:
