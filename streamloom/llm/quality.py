@@ -10,13 +10,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, strip_white, words, written
+from .common import let, strip_white, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Rows at most on which a rule's cost and selectivity are estimated.  They
 #: decide the order of the rules only, never a verdict.
 SAMPLE_ROWS = 300
+#: Code points of a text in the sample at most, which bounds what the driver gets.
+SAMPLE_CHARS = 20_000
 #: Seconds below which timings on the sample are noise.
 NOISE = 0.03
 
@@ -115,33 +117,34 @@ def metrics(text: Column, w: Column) -> dict[str, Column]:
 def ordered_rules(docs: DataFrame, text_col: str = "text", rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """``rules`` by rejections per second, both estimated on at most ``sample_rows`` rows.
 
-    The sample is drawn by seed, read partition after partition until it is
-    full, and written to the shared folder.  A rule's cost is what it takes
-    over the words, which all rules share: the least of three runs after a
-    first one, in steps of a factor of two above what is noise, so that reruns
-    mostly agree.  With no row to estimate on, the given order stays.  A rule
+    The sample is drawn by seed from texts of ``SAMPLE_CHARS`` at most, partition
+    after partition until it is full.  A rule's cost is what it takes over the
+    words, which all rules share: the least of three runs after a first one,
+    in steps of a factor of two above what is noise, so that reruns mostly
+    agree.  With no row to estimate on, the given order stays.  A rule
     that rejects nothing comes after those that do, cheapest first.
     """
-    text = F.coalesce(docs[text_col], F.lit("")).alias("t")
-    sample = written(docs.select(text).sample(0.1, seed=7).limit(sample_rows).coalesce(1), "quality-sample")
+    text = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("t")).filter(F.char_length("t") <= SAMPLE_CHARS)
+    rows = text.sample(0.1, seed=7).limit(sample_rows).collect()
+    if not rows:
+        return list(rules)
+    sample = docs.sparkSession.createDataFrame(rows, "t string").coalesce(1)
 
-    def timed(fails: Callable[[dict[str, Column]], Column]) -> tuple[float, int, int]:
+    def timed(fails: Callable[[dict[str, Column]], Column]) -> tuple[float, int]:
         verdict = let(words(F.col("t")), lambda w: fails(metrics(F.col("t"), w)))
-        job = sample.select(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(verdict.cast("int")), F.lit(0)).alias("n"))
+        job = sample.select(F.coalesce(F.sum(verdict.cast("int")), F.lit(0)))
         least = math.inf
         for k in range(4):
             began = time.perf_counter()
-            rows, n = job.collect()[0]
+            n = job.collect()[0][0]
             if k:
                 least = min(least, time.perf_counter() - began)
-        return least, n, rows
+        return least, n
 
-    base, _, rows = timed(lambda m: m["n_words"] < 0)
-    if not rows:
-        return list(rules)
+    base, _ = timed(lambda m: m["n_words"] < 0)
     found = {}
     for r in rules:
-        cost, rejected, _ = timed(r.fails)
+        cost, rejected = timed(r.fails)
         step = max(round(math.log2(max(cost - base, NOISE) / NOISE)), 0)
         found[r.name] = (-rejected / 2**step, step)
     return sorted(rules, key=lambda r: found[r.name])
