@@ -24,8 +24,8 @@ CHUNK = 1 << 22
 BUCKET = 1 << 20
 #: Stands for a null id, which is larger than all others.
 LAST = 2**63 - 1
-CHUNKS = "chunk string, blob binary"
-ROW = "chunk string, kind int, bucket int, blob binary"
+CHUNKS = "chunk long, blob binary"
+ROW = "chunk long, kind int, bucket int, blob binary"
 _NAMES = ["chunk", "kind", "bucket", "blob"]
 
 
@@ -67,7 +67,7 @@ def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row():
         data = np.frombuffer(b"".join(texts), np.uint8)
         c = Chunk(np.array(ids, np.int64), np.array(list(map(len, texts)), np.int64), data)
-        name = f"{TaskContext.get().partitionId()}-{n}"
+        name = TaskContext.get().partitionId() << 20 | n
         return pa.RecordBatch.from_pydict({"chunk": [name], "blob": [c.packed()]})
 
     for b in batches:
@@ -93,7 +93,7 @@ def by(key: str, df: DataFrame) -> DataFrame:
 
 def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
     chunk, kind, bucket, blob = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], _NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], _NAMES)
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[tuple]]:
@@ -126,7 +126,7 @@ def widths(hashes: int, bucket: int) -> tuple[int, int]:
     return bits, bits - top
 
 
-def told(h: np.ndarray, count: np.ndarray, many: np.ndarray, name: str, low: int) -> list[tuple]:
+def told(h: np.ndarray, count: np.ndarray, many: np.ndarray, name: int, low: int) -> list[tuple]:
     """For each bucket a row with a chunk's sorted hashes, how often each is there and whether that alone makes it shared."""
     mask = (1 << low) - 1
     return [(name, 1, k, pack(np.diff(h[a:z] & mask, prepend=0), count[a:z], many[a:z].astype(np.int64))) for k, a, z in split(h, low)]

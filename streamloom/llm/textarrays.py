@@ -8,7 +8,7 @@ shingles, minima and names are made from without a loop over words.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 
@@ -67,13 +67,16 @@ class Words:
         end[:-1] &= ~solid[1:] | first[1:-1]
         self.at, self.to = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.doc = np.searchsorted(starts, self.at, "right") - 1
-        self.hash = np.empty(len(self.at), np.uint64)
-        i = 0
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        out, i = np.empty(len(self.at), np.uint64), 0
         while i < len(self.at):
             j = max(int(np.searchsorted(self.at, self.at[i] + PIECE)), i + 1)
             lo, hi = self.at[i], self.to[j - 1]
-            self.hash[i:j] = sequence_hashes(_BYTE[data[lo:hi]], self.at[i:j] - lo, self.to[i:j] - lo, 0)
+            out[i:j] = sequence_hashes(_BYTE[self.data[lo:hi]], self.at[i:j] - lo, self.to[i:j] - lo, 0)
             i = j
+        return out
 
     def __len__(self) -> int:
         return len(self.at)

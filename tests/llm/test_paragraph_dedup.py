@@ -173,6 +173,13 @@ def test_unique_short_sentence_stays(spark):
     assert kept(spark, [(1, f"{a} {b}"), (2, f"{a} Dosage: 50 mg. {b}")])[2] == "Dosage: 50 mg. "
 
 
+def test_packed_numbers(spark):
+    rows = [(a, b) for a in (-(2**63), -7, -1, 0, 5, 2**63 - 1) for b in (0, 1, 2**31, 2**32 - 1)]
+    df = spark.createDataFrame(rows, "a long, b long").select("a", "b", m._packed(("a", 32), ("b", 32)).alias("p"))
+    got = df.select("a", "b", "p", *m._unpacked("p", 32)).orderBy("p").collect()
+    assert [tuple(r)[:2] for r in got] == sorted(rows) and all(tuple(r)[:2] == tuple(r)[3:] for r in got)
+
+
 def test_hot_bucket_is_split(spark, monkeypatch):
     from streamloom.llm import runs
 
