@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import scratch
+
 #: Labelled findings the forest is trained from.
 FINDINGS = 3000
 TREES, DEPTH, LEAF = 25, 9, 4
@@ -89,10 +91,22 @@ def plain() -> Language:
 
 
 def language(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> Language:
-    """The ``size`` words of three letters or more that most documents have, of those with the same count the first."""
+    """The ``size`` words of three letters or more that most documents have, of those with the same count the first.
+
+    The driver gets a histogram of the counts, then the words from a step of
+    it on, so not a number of words for each partition.
+    """
     found = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z]+"))
-    counts = docs.select(F.explode(found).alias("w")).filter(F.length("w").between(3, 30)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return Language({r["w"]: r["n"] for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()})
+    words = docs.select(F.explode(found).alias("w")).filter(F.length("w").between(3, 30))
+    with scratch() as kept:
+        counts = kept(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.floor(32 * F.log2("n")).cast("int")), "words")
+        left, least = size, 0
+        for step, n in sorted(map(tuple, counts.groupBy("step").count().collect()), reverse=True):
+            least, left = step, left - n
+            if left <= 0:
+                break
+        some = counts.filter(F.col("step") >= least)
+        return Language({r["w"]: r["n"] for r in some.orderBy(F.desc("n"), "w").limit(size).collect()})
 
 
 def features(value: str, before: str, after: str, path: str, named: bool, of: Language) -> list[float]:
@@ -179,7 +193,7 @@ def labelled_findings(
     pick = lambda alphabet, k: "".join(rng.choice(list(alphabet), k))
     alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
     words = of.vocabulary
-    word = lambda: str(rng.choice(words))
+    word = lambda: words[int(rng.integers(len(words)))]
     b64 = lambda k: base64.b64encode(rng.bytes(k)).decode()
     size = lambda a, b: int(rng.integers(a, b + 1))
     uuid = lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))
