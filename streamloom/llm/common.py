@@ -100,15 +100,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    table.written_to = path
+    return table
 
 
-def delete(df: DataFrame) -> None:
+def delete(table: DataFrame) -> None:
     """Removes the table that :func:`written` made; nothing may read it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    sc = table.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextmanager
