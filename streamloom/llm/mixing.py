@@ -129,7 +129,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # ranked in parts of about RANKED, by the hash that orders it anyway.
     parts = F.ceil(F.col("n") / RANKED)
     part = F.shiftright(F.shiftrightunsigned("h", 33) * parts, 31)
-    rows = base.join(plan, ["s", "size"]).withColumn("part", part)
+    # written, so that the join can split a source and length of very many rows
+    rows = checkpointed(base.join(plan, ["s", "size"]).withColumn("part", part))
     keys = ["s", "size", "part"]
     before = Window.partitionBy("s", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).select(*keys, F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"))
