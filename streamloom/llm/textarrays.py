@@ -66,7 +66,8 @@ class Words:
         begin[1:] &= ~solid[:-1] | first[1:-1]
         end[:-1] &= ~solid[1:] | first[1:-1]
         self.at, self.to = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        self.doc = np.searchsorted(starts, self.at, "right") - 1
+        self.words_of = np.diff(np.searchsorted(self.at, np.append(starts, len(data))))
+        self.doc = np.repeat(np.arange(len(starts)), self.words_of)
 
     @cached_property
     def hash(self) -> np.ndarray:
@@ -83,16 +84,16 @@ class Words:
 
     def counts(self) -> np.ndarray:
         """The words of each text."""
-        return np.bincount(self.doc, minlength=len(self.starts))
+        return self.words_of
 
     def ends(self) -> tuple[np.ndarray, np.ndarray]:
         """Whether a line, and whether a sentence ends with each word; a line ends a sentence, a text a line."""
         if not len(self):
             return np.zeros(0, bool), np.zeros(0, bool)
-        last = np.append(self.doc[1:] != self.doc[:-1], True)
-        breaks = np.flatnonzero(self.data == 10)
-        following = np.append(self.at[1:], len(self.data))
-        line = last | (np.searchsorted(breaks, self.to) < np.searchsorted(breaks, following))
+        line = np.append(self.doc[1:] != self.doc[:-1], True)
+        # the word before each line break
+        before = np.searchsorted(self.at, np.flatnonzero(self.data == 10)) - 1
+        line[before[before >= 0]] = True
         return line, line | _MARK[self.data[self.to - 1]]
 
     def shingles(self, size: int) -> np.ndarray:
